@@ -77,7 +77,7 @@ SENT_ROWS = 500_000
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with the hash that, beside doc_id, tells its rows' texts apart."""
-    return docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("pm_hash__", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def decided(docs: DataFrame, decisions: DataFrame, how: str, names: tuple[str, ...] = ()) -> DataFrame:
@@ -85,8 +85,8 @@ def decided(docs: DataFrame, decisions: DataFrame, how: str, names: tuple[str, .
 
     how: left_anti drops the rows in decisions; inner brings the named columns.
     """
-    side = decisions.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), *names)
+    side = decisions.select(F.col("doc_id").alias("pm_id__"), F.col("hash").alias("pm_h__"), *names)
     side = F.broadcast(side) if side.count() <= SENT_ROWS else side
     rows = keyed(docs)
-    same = (rows["_hash"] == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    same = (rows["pm_hash__"] == F.col("pm_h__")) & F.col("doc_id").cast("long").eqNullSafe(F.col("pm_id__"))
     return rows.join(side, same, how).select(*docs.columns, *names)

@@ -106,8 +106,13 @@ def _ranged(docs: DataFrame) -> DataFrame:
     n = common.partitions(spark) * 3
     ids = docs.select("doc_id").where("doc_id is not null")
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="range", handleInvalid="keep")
-    placed = lambda df: bucket.transform(df.withColumn("at", F.col("doc_id").cast("double"))).withColumn("range", F.coalesce(F.col("range"), F.lit(-1.0)).cast("int")).drop("at")
+    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="range", handleInvalid="keep") if cuts else None
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("at", F.col("doc_id").cast("double"))
+        df = bucket.transform(df) if bucket else df.withColumn("range", F.lit(0))
+        return df.withColumn("range", F.coalesce(F.col("range"), F.lit(-1)).cast("int")).drop("at")
+
     tops = sorted((r["range"], r["top"]) for r in placed(docs.select("doc_id")).groupBy("range").agg(F.max("doc_id").alias("top")).collect())  # a row for each range
     goes = [(r, top, tops[(i + 1) % len(tops)][0]) for i, (r, top) in enumerate(tops)]
     near = spark.createDataFrame(goes, "range int, top long, to int")  # a row for each range: bounded by the partitions

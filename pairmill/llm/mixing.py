@@ -143,17 +143,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with every row as often as the mix takes it."""
     own = docs.columns
-    copies = common.written(mix(docs, **how).groupBy("doc_id", "hash", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
-    if copies.where("_rows > 1").isEmpty():
-        rows = common.decided(docs, copies.where("_copies > 0"), "inner", ("_copies",))
+    copies = common.written(mix(docs, **how).groupBy("doc_id", "hash", "source").agg(F.sum("copies").alias("pm_copies__"), F.count("*").alias("pm_rows__")), "mix-copies")
+    if copies.where("pm_rows__ > 1").isEmpty():
+        rows = common.decided(docs, copies.where("pm_copies__ > 0"), "inner", ("pm_copies__",))
     else:  # repeated rows of one id and text share their copies out
-        copies = copies.groupBy("doc_id", "hash").agg(F.sum("_copies").alias("_copies"), F.sum("_rows").alias("_rows"))
-        rows = common.decided(docs, copies, "inner", ("_copies", "_rows"))
+        copies = copies.groupBy("doc_id", "hash").agg(F.sum("pm_copies__").alias("pm_copies__"), F.sum("pm_rows__").alias("pm_rows__"))
+        rows = common.decided(docs, copies, "inner", ("pm_copies__", "pm_rows__"))
         number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
-        whole = F.floor(F.col("_copies") / F.col("_rows"))
-        more = F.when(F.col("_rows") > 1, (number <= F.col("_copies") - whole * F.col("_rows")).cast("long")).otherwise(F.lit(0))
-        rows = rows.withColumn("_copies", whole + more).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*own)
+        whole = F.floor(F.col("pm_copies__") / F.col("pm_rows__"))
+        more = F.when(F.col("pm_rows__") > 1, (number <= F.col("pm_copies__") - whole * F.col("pm_rows__")).cast("long")).otherwise(F.lit(0))
+        rows = rows.withColumn("pm_copies__", whole + more).where("pm_copies__ > 0")
+    return rows.withColumn("pm_copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pm_copies__")))).select(*own)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

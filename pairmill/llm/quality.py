@@ -108,7 +108,7 @@ def model(trusted: DataFrame) -> DataFrame:
     rows = rows.union(left1.select(shard(F.col("ctx")), F.lit(2), "ctx", "left"))
     rows = rows.union(trigrams.select(shard(F.shiftright("abc", _BITS).bitwiseAND(low)), F.lit(3), "abc", "p"))
     rows = rows.union(left2.select(shard(F.col("ctx").bitwiseAND(low)), F.lit(4), "ctx", "left"))
-    return common.written(rows, "kn-model")
+    return common.written(rows.where("p is not null"), "kn-model")  # without any trusted text there is no model
 
 
 def _bodies(texts: list[str]) -> list[tuple[int, bytes]]:
@@ -185,7 +185,7 @@ class _Shard:
     """A shard's part of the model, as sorted arrays."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        kind, key, p = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        kind, key, p = (np.concatenate([np.zeros(0, t), *[x[i] for x in parts]]) for i, t in enumerate((np.int32, np.int64, np.float64)))
         self.of = {}
         for k in range(5):
             own = np.flatnonzero(kind == k)
