@@ -27,7 +27,7 @@ MARK = "▁"
 UNKNOWN = 10.0
 #: Different words that a worker remembers before it starts anew.
 MEMORY = 400_000
-STEP_CHARS = 6_000_000
+STEP_CHARS = 4_000_000
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
