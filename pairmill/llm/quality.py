@@ -260,7 +260,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     labels: doc_id and quality; documents with quality 1 are trusted. docs may
     hold further columns.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = common.written(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "kn-good")
+    good = F.broadcast(good) if good.count() <= common.SENT_ROWS else good  # beyond the check both sides are shuffled
     trusted = docs.join(good, "doc_id", "left_semi")
     scored = common.written(log_probabilities(docs, model(trusted)), "kn-scored")
     perplexity = F.when(F.col("size") > 0, F.exp(-F.col("log_p") / F.col("size")))
