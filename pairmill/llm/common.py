@@ -58,7 +58,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_CHARS):
-    """Slices of a batch with about ``limit`` bytes of text each; one row at least."""
+    """Slices of a batch with about ``limit`` bytes of text each; one row at least. Memory that a step freed goes back."""
     col = batch.column(batch.schema.get_field_index(column))
     if len(col) == 0:
         return
@@ -68,6 +68,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_CHARS):
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to
 
 

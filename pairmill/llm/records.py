@@ -29,6 +29,8 @@ from pairmill.llm.wordtok import encoder
 STEP_CHARS = 4_000_000
 #: Records of one file at most, so that a file fits into a task's memory.
 FILE_RECORDS = 20_000
+#: Bytes that are checksummed at once.
+SUM_BYTES = 1 << 18
 _HEAD = "<qBB"
 _CHUNK = 512
 #: CRC-32C's reversed polynomial and the mask's summand.
@@ -86,8 +88,15 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 
 def _sums(payloads: list[bytes]) -> np.ndarray:
+    """Masked checksums, of about SUM_BYTES at once."""
     size = np.array([len(p) for p in payloads], np.int64)
-    return masked(crc32c(np.frombuffer(b"".join(payloads), np.uint8), np.cumsum(size) - size, size))
+    part = (np.cumsum(size) - size) // SUM_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(payloads)]
+    out = []
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        own = size[a:z]
+        out.append(crc32c(np.frombuffer(b"".join(payloads[a:z]), np.uint8), np.cumsum(own) - own, own))
+    return masked(np.concatenate(out))
 
 
 def framed(payloads: list[bytes]) -> list[bytes]:
