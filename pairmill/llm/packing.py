@@ -28,7 +28,7 @@ from pairmill.llm import common
 from pairmill.llm.wordtok import Encoder, encoder
 
 LENGTH = 4096
-STEP_CHARS = 4_000_000
+STEP_CHARS = 8_000_000
 SENTENCE, ANYWHERE = 8, 32
 #: Tokens without a sentence's end after which cuts anywhere are tried, and so often.
 _GAP = 256

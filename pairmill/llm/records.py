@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pairmill.llm import common
 from pairmill.llm.wordtok import encoder
 
-STEP_CHARS = 4_000_000
+STEP_CHARS = 8_000_000
 #: Records of one file at most, so that a file fits into a task's memory.
 FILE_RECORDS = 20_000
 #: Bytes that are checksummed at once.

@@ -20,7 +20,7 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PATTERN = regex.compile(_CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(_CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")  # and the blank that parts words here
 #: Distinct pieces that a worker remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 500_000
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BESIDE = f" {_SPACE}|{_SPACE} |^{_SPACE}|{_SPACE}$"
 _CONTROL = r"[\x00\x1c-\x1f]"
