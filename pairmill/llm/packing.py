@@ -64,7 +64,7 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     """Positions of the cheapest series of cuts, 0 and the end among them."""
     pos, extra = at.tolist(), cost.tolist()
     index = {p: i for i, p in enumerate(pos)}
-    powers = [1 << k for k in range(length.bit_length())]
+    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]  # a whole window is in the queue
     best, back = [0] * len(pos), [0] * len(pos)
     queue: deque[tuple[int, int, int]] = deque([(pos[0], 0, pos[0])])  # (cost + position, index, position)
     find = index.get
