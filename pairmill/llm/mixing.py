@@ -11,7 +11,8 @@ each source, which is rounded to the nearer whole; in its group the bits of
 documents are turned, large to small, where that brings the words taken nearer
 to the target.
 
-The chances come from hashes of ids, so reruns agree. A null text has size 0
+The chances come from hashes of the documents' ids and texts with their source
+and group, so reruns agree and no two groups share their draws. A null text has size 0
 and is taken 0 words; a null source is a source of its own, last. Repeated ids
 and rows are documents of their own. An empty table gives no rows.
 """
@@ -64,9 +65,10 @@ def _uniform(*of: Column) -> Column:
 
 
 def _round(items: Column) -> Column:
-    """Pivotal rounding along an array of struct(key, size, p): struct(kept, done).
+    """Pivotal rounding along an array of struct(key, size, p, salt): struct(kept, done).
 
-    kept is the element left with its probability; done the others' keys and bits.
+    kept is the element left with its probability; done the others' keys and
+    bits. Two elements draw by their salts, which belong to a document.
     """
     empty = F.array().cast("array<struct<key:bigint,bit:int>>")
 
@@ -74,12 +76,12 @@ def _round(items: Column) -> Column:
         a = s["kept"]
         up = F.least((1 - a["p"]) * a["size"], b["p"] * b["size"])  # words that may move from b to a
         down = F.least(a["p"] * a["size"], (1 - b["p"]) * b["size"])
-        rises = _uniform(a["key"], b["key"]) * (up + down) < down
+        rises = _uniform(a["salt"], b["salt"]) * (up + down) < down
         pa = F.when(rises, a["p"] + up / a["size"]).otherwise(a["p"] - down / a["size"])
         pb = F.when(rises, b["p"] - up / b["size"]).otherwise(b["p"] + down / b["size"])
         off = lambda p: F.least(p, 1 - p)  # noqa: E731  the nearer to a whole number is the one that is settled
         settled = off(pa) <= off(pb)
-        kept = F.when(settled, F.struct(b["key"].alias("key"), b["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), pb)).alias("p"))).otherwise(F.struct(a["key"].alias("key"), a["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), pa)).alias("p")))
+        kept = F.when(settled, F.struct(b["key"].alias("key"), b["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), pb)).alias("p"), b["salt"].alias("salt"))).otherwise(F.struct(a["key"].alias("key"), a["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), pa)).alias("p"), a["salt"].alias("salt")))
         done = F.struct(F.when(settled, a["key"]).otherwise(b["key"]).alias("key"), F.round(F.when(settled, pa).otherwise(pb)).cast("int").alias("bit"))
         return F.struct(kept.alias("kept"), F.concat(s["done"], F.array(done)).alias("done"))
 
@@ -115,15 +117,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # the leaves: groups of documents, in order of id; equal rows stand side by side
     item = F.struct("doc_id", "hash", "size", "p", "source_size", "target", "whole")
     leaf = level.groupBy("source", "g").agg(F.sort_array(F.collect_list(item)).alias("docs"))
-    keyed = F.transform("docs", lambda x, i: F.struct(i.cast("long").alias("key"), x["size"].cast("double").alias("size"), x["p"].alias("p")))
+    keyed = F.transform("docs", lambda x, i: F.struct(i.cast("long").alias("key"), x["size"].cast("double").alias("size"), x["p"].alias("p"), F.xxhash64(x["doc_id"], x["hash"], F.col("source"), F.col("g"), i, F.lit(SEED)).alias("salt")))
     tree = [common.written(leaf.withColumn("out", _round(keyed)), "mix-0")]
-    left, n = tree[0].select("source", "g", F.col("out.kept.size").alias("size"), F.col("out.kept.p").alias("p")), -(-top // GROUP)
+    left, n = tree[0].select("source", "g", F.col("out.kept.size").alias("size"), F.col("out.kept.p").alias("p"), F.col("out.kept.salt").alias("salt")), -(-top // GROUP)
     while n > 1:
         n = -(-n // GROUP)
         ahead = left.withColumn("child", F.col("g")).withColumn("g", F.pmod(F.xxhash64("g", F.lit(SEED + n)), F.lit(n)))
-        inner = ahead.groupBy("source", "g").agg(F.sort_array(F.collect_list(F.struct(F.col("child").alias("key"), "size", "p"))).alias("items"))
+        inner = ahead.groupBy("source", "g").agg(F.sort_array(F.collect_list(F.struct(F.col("child").alias("key"), "size", "p", F.xxhash64("salt", "g", F.lit(n)).alias("salt")))).alias("items"))
         tree.append(common.written(inner.select("source", "g", _round(F.col("items")).alias("out")), f"mix-{len(tree)}"))
-        left = tree[-1].select("source", "g", F.col("out.kept.size").alias("size"), F.col("out.kept.p").alias("p"))
+        left = tree[-1].select("source", "g", F.col("out.kept.size").alias("size"), F.col("out.kept.p").alias("p"), F.col("out.kept.salt").alias("salt"))
     root = F.round("out.kept.p")
     bits = tree[-1].select("source", "g", root.cast("int").alias("bit"), ((root - F.col("out.kept.p")) * F.col("out.kept.size")).alias("over"))
     for inner in reversed(tree):
