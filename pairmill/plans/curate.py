@@ -98,6 +98,11 @@ def threshold(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 5800, "").otherwise(F.substring("text", 1, 20)).alias("head"))
 
 
+@query("f17_threshold_to_empty_all", "SELECT doc_id, CASE WHEN length(text) > 5800 THEN '' ELSE text END AS text FROM documents")
+def threshold_all(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 5800, "").otherwise(F.col("text")).alias("text"))
+
+
 @query("f19_negated_contains", "SELECT doc_id FROM documents WHERE NOT coalesce(contains(text, 'the'), false)")
 def negated(spark, sf):
     return t(spark, sf, "documents").where(~F.coalesce(F.col("text").contains("the"), F.lit(False))).select("doc_id")

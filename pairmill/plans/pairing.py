@@ -177,6 +177,20 @@ def blank(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.when(F.trim(head) == "", " ").otherwise(head).alias("head"))
 
 
+#: A character that is no white space, as str.strip has it.
+_FILLED = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query("c18_blank_to_space_all", f"SELECT doc_id, CASE WHEN regexp_matches(text, '{_FILLED}') THEN text ELSE ' ' END AS text FROM documents")
+def blank_all(spark, sf):
+    return blank_to_space(t(spark, sf, "documents"))
+
+
+def blank_to_space(docs):
+    """doc_id and the whole text; a null or blank one becomes a space."""
+    return docs.select("doc_id", F.when(F.col("text").rlike(_FILLED), F.col("text")).otherwise(" ").alias("text"))
+
+
 @query("c22_metric_keys", "SELECT 'ds' || n_nationkey AS dataset, 'cosine' AS sim, 'mrr' AS metric, n_regionkey AS k FROM nation")
 def metric_keys(spark, sf):
     key = F.concat(F.lit("ds"), F.col("n_nationkey").cast("string"), F.lit("__sub__file__evaluator_cosine_mrr@"), F.col("n_regionkey").cast("string"))

@@ -3,7 +3,7 @@
 import pytest
 from oracle import assert_same, connect
 
-from pairmill.plans import catalog
+from pairmill.plans import catalog, pairing
 
 SF = "/root/testdata/sf0.1"
 
@@ -23,3 +23,15 @@ def test_metrics_of_every_row(spark):
 def test_every_benchmark_item_is_searched(spark):
     asked = spark.read.parquet(f"{SF}/benchmark.parquet").count()
     assert catalog.queries()["r19_bm25_all"](spark, SF).select("query_id").distinct().count() == asked
+
+
+def test_whole_texts(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for name, want in (("f17_threshold_to_empty_all", lambda x: "" if x and len(x) > 5800 else x), ("c18_blank_to_space_all", lambda x: x if x and x.strip() else " ")):
+        assert {r["doc_id"]: r["text"] for r in catalog.queries()[name](spark, SF).collect()} == {i: want(x) for i, x in docs.items()}
+
+
+def test_only_blank_texts_become_a_space(spark):
+    texts = [None, "", " ", "\t\n\x0b\x1c\x85\xa0\u2003\u3000", " a", "\n\nb ", "\u200b", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in pairing.blank_to_space(docs).orderBy("doc_id").collect()] == [x if x and x.strip() else " " for x in texts]
