@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
+
+#: Fits with seeds of their own, of which the best counts; fits that run at once.
+STARTS, FITS = 10, 8
 
 
 def _vectors(df: DataFrame, key: str | None, v: str) -> DataFrame:
@@ -14,16 +20,40 @@ def _vectors(df: DataFrame, key: str | None, v: str) -> DataFrame:
     return df.select(*cols, array_to_vector(F.col(v).cast("array<double>")).alias("features"))
 
 
-def clusters(df: DataFrame, key: str, v: str, k: int, seed: int = 42) -> DataFrame:
-    """key, cluster."""
+def _best(rows: DataFrame, ks: list[int], seed: int, starts: int) -> dict:
+    """The fit of least cost of each k, among starts with seeds from seed on; a few fits run at once."""
+
+    def fit(at):
+        k, s = at
+        model = KMeans(k=k, seed=s, maxIter=20).fit(rows)
+        return k, float(model.summary.trainingCost), s, model
+
+    best: dict = {}
+    with ThreadPool(FITS) as pool:
+        for k, cost, s, model in pool.imap_unordered(inheritable_thread_target(rows.sparkSession)(fit), [(k, seed + i) for k in ks for i in range(starts)]):
+            if k not in best or (cost, s) < best[k][:2]:
+                best[k] = cost, s, model
+    return best
+
+
+def clusters(df: DataFrame, key: str, v: str, k: int, seed: int = 42, starts: int = STARTS) -> DataFrame:
+    """key, cluster; the best of several fits."""
     rows = _vectors(df, key, v)
-    return KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select(key, F.col("prediction").alias("cluster"))
+    held = rows.persist()
+    try:
+        model = _best(held, [k], seed, starts)[k][2]
+    finally:
+        held.unpersist()
+    return model.transform(rows).select(key, F.col("prediction").alias("cluster"))
 
 
-def inertia(df: DataFrame, v: str, ks: list[int], seed: int = 42) -> DataFrame:
-    """k and the cost of its clusters, to choose k by the bend."""
-    rows = _vectors(df, None, v)
-    found = [(k, float(KMeans(k=k, seed=seed, maxIter=20).fit(rows).summary.trainingCost)) for k in ks]
+def inertia(df: DataFrame, v: str, ks: list[int], seed: int = 42, starts: int = STARTS) -> DataFrame:
+    """k and the least cost of its clusters over several fits, to choose k by the bend."""
+    held = _vectors(df, None, v).persist()
+    try:
+        found = [(k, x[0]) for k, x in sorted(_best(held, ks, seed, starts).items())]
+    finally:
+        held.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, inertia double")
 
 

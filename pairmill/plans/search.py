@@ -209,7 +209,7 @@ def kmeans(spark, sf):
 def elbow(spark, sf):
     from pairmill.operators.clustering import inertia
 
-    return inertia(t(spark, sf, "embeddings"), "embedding", [4, 8])
+    return inertia(t(spark, sf, "embeddings"), "embedding", list(range(4, 22)))
 
 
 @query("v15_pca")

@@ -35,3 +35,13 @@ def test_only_blank_texts_become_a_space(spark):
     texts = [None, "", " ", "\t\n\x0b\x1c\x85\xa0\u2003\u3000", " a", "\n\nb ", "\u200b", "x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["text"] for r in pairing.blank_to_space(docs).orderBy("doc_id").collect()] == [x if x and x.strip() else " " for x in texts]
+
+
+def test_elbow_sweeps_all_k(spark):
+    from pairmill.operators import clustering
+
+    got = {r["k"]: r["inertia"] for r in catalog.queries()["v14_elbow"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == list(range(4, 22))
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    each = [clustering.inertia(e, "embedding", [7], seed, 1).first()["inertia"] for seed in range(42, 52)]
+    assert got[7] == pytest.approx(min(each))
