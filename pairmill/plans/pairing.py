@@ -85,7 +85,7 @@ def join_or_null(spark, sf):
 
 @query("p21_derived", "SELECT doc_id, length(text) - n_chars AS extra, round(n_chars / 4.0 * 0.15 / 1000, 6)::DOUBLE AS cost FROM documents")
 def derived(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", (F.length("text") - F.col("n_chars")).alias("extra"), F.round(F.col("n_chars") / 4.0 * 0.15 / 1000, 6).alias("cost"))
+    return t(spark, sf, "documents").select("doc_id", (F.length("text") - F.col("n_chars")).alias("extra"), (F.floor(F.col("n_chars") / 4.0 * 0.15 / 1000 * 1e6 + 0.5) / 1e6).alias("cost"))  # rounded in binary, as SQL engines do
 
 
 @query("p22_aligned_union", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")

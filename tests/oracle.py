@@ -12,14 +12,14 @@ def cell(x):
         return str([cell(y) for y in x])
     if x is None or str(x) in ("NaT", "<NA>", "nan"):
         return "null"
-    return f"{x:.5f}" if isinstance(x, (float, np.floating)) else str(x)
+    return f"{x:.9g}" if isinstance(x, (float, np.floating)) else str(x)
 
 
 def rows(df):
     df = df.reindex(sorted(df.columns), axis=1)
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(f"{float(x):.5f}" if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, (bool, np.bool_)) and x == x else cell(x) for x in r))
+        out.append(tuple(f"{float(x):.9g}" if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, (bool, np.bool_)) and x == x else cell(x) for x in r))
     return sorted(out)
 
 
