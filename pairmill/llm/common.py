@@ -28,9 +28,15 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set."""
+    """The folder that driver and executors share.
+
+    Only in a local session, where all tasks run on this machine, an own one
+    is made if none is set; a cluster has to name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pairmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -44,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.pm_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and that no later job reads."""
+    for df in tables:
+        if "pm_path" in vars(df):
+            drop_path(df.sparkSession, df.pm_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
