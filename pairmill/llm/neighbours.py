@@ -10,7 +10,8 @@ tasks of bounded size, and each gives its best for every query.
 
 Vectors that are null, zero, of another length than the pivots, or hold null
 or non-finite components take no part. Ties go to the smaller vec_id. Repeated
-ids are rows of their own, but no row with the query's id is its neighbour.
+ids are rows of their own, but no row with the query's id is its neighbour; an
+id asks once, with the least of its vectors.
 An empty table gives no rows.
 """
 
@@ -96,7 +97,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, candidates: int = CA
     width, count = (pivot.shape[1] if len(pivot) else 0), len(pivot)
     depth = min(DEPTH, count)
     rows = rows.where(F.size("v") == width)
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = rows.count(), asked.count()
     nb, qb = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
     block = lambda b, *c: F.pmod(F.xxhash64(*c, F.lit(SEED + 1)), F.lit(b)).cast("int")
