@@ -14,7 +14,8 @@ to the target.
 The chances come from hashes of the documents' ids and texts with their source
 and group, so reruns agree and no two groups share their draws. A null text has size 0
 and is taken 0 words; a null source is a source of its own, last. Repeated ids
-and rows are documents of their own. An empty table gives no rows.
+and rows are documents of their own; equal rows are numbered and dealt over all
+groups. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,19 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
+#: Equal rows that one row is opened into at once.
+OPENED = 10_000
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized with nth: 0, 1, ... within equal rows, however many; counted before they are shuffled."""
+    own = sized.columns
+    rows = sized.groupBy(*own).agg(F.count("*").alias("rows"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / OPENED))))
+    first = F.col("part") * OPENED
+    return rows.select(*own, F.explode(F.sequence(first, F.least(F.col("rows"), first + OPENED) - 1)).alias("nth"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target and n (documents with words) of each source.
 
@@ -104,7 +118,7 @@ def _repaired(bits: Column, docs: Column, over: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, hash, source, size, source_size, target and copies of each document."""
     spark = docs.sparkSession
-    sized = common.written(sizes(docs), "mix-sizes")
+    sized = common.written(numbered(sizes(docs)), "mix-sizes")
     by = common.written(targets(sized, weights, share, most), "mix-targets")
     by = F.broadcast(by) if by.count() <= FEW_SOURCES else by  # its size is checked
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -112,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     moved = (F.col("size") > 0) & (F.col("p") > 0)
     keep = ("doc_id", "hash", "source", "size", "source_size", "target", "whole")
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP))
-    level = rows.where(moved).withColumn("g", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), groups))
+    level = rows.where(moved).withColumn("g", F.pmod(F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), groups) + F.col("nth"), groups))  # equal rows side by side
     top = int(by.agg(F.max("n")).first()[0] or 0)
     # the leaves: groups of documents, in order of id; equal rows stand side by side
     item = F.struct("doc_id", "hash", "size", "p", "source_size", "target", "whole")
