@@ -72,6 +72,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text in partitions of ascending ids; of equal ids (many, perhaps) by a hash of the text."""
+    rows = texts(docs).withColumn("hash", F.xxhash64("text"))
+    return rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_CHARS):
     """Slices of a batch with about ``limit`` bytes of text each; one row at least. Memory that a step freed goes back."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -9,7 +9,7 @@ index, parquet, has for each record its file, offset, length, id, number of
 tokens and checksum of the tokens, so that a shuffled read can fetch it alone.
 
 A null text is encoded as empty: its record holds the end id. Documents with
-equal ids are ordered by text, those without an id come first. Repeated rows
+equal ids are ordered by a hash of the text, those without an id come first. Repeated rows
 give a record each.
 """
 
@@ -147,8 +147,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
                 out = framed([struct.pack(_HEAD, d or 0, d is not None, wide) + raw[cut[i] : cut[i + 1]] + end for i, d in enumerate(b["doc_id"].to_pylist())])
                 yield pa.record_batch({"record": pa.array(out, pa.binary())})
 
-    rows = common.texts(docs).repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    common.in_order(docs).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
