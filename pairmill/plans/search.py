@@ -242,4 +242,4 @@ def sessions(spark, sf):
     from pairmill.streaming import incremental
 
     rows = incremental.sessions(t(spark, sf, "events"))
-    return rows.select(F.col("session_window.start").alias("start"), "user_id", "n")
+    return rows.select(F.col("session_window.start").cast("timestamp_ntz").alias("start"), "user_id", "n")
