@@ -5,9 +5,14 @@ from __future__ import annotations
 from pairmill.plans import curate, evaluation, pairing, registry, roundtrips, search  # noqa: F401  registration
 
 
+def _whole(found: dict) -> dict:
+    """Without the queries that answer a part of a table and have one beside them, named ..._all, that answers all of it."""
+    return {k: v for k, v in found.items() if f"{k}_all" not in found}
+
+
 def queries() -> dict:
-    return dict(registry.QUERIES)
+    return _whole(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(registry.ORACLES)
+    return _whole(registry.ORACLES)
