@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +15,16 @@ from pyspark.sql import functions as F
 STEP_CHARS = 2_000_000
 
 
+#: Bytes of an Arrow batch between the JVM and a worker, which both hold it whole.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own."""
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -24,6 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -48,6 +60,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -78,6 +91,14 @@ def in_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory; a worker lives on behind its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_CHARS):
     """Slices of a batch with about ``limit`` bytes of text each; one row at least. Memory that a step freed goes back."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -89,7 +110,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_CHARS):
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
-        pa.default_memory_pool().release_unused()
+        give_back()
         at = to
 
 

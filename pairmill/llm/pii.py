@@ -160,6 +160,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the spans in text replaced and n_chars, where there is one, counted anew; null texts stay null."""
     weights = train()
+    common.small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 

@@ -17,8 +17,8 @@ CLASSES = len(_MARKS) + 31
 HIDDEN = 16
 #: Characters of a window, and those that two windows share.
 WINDOW, SHARED = 512, 64
-#: Windows that are read at once.
-ROWS = 1_024
+#: Windows that are read at once, and their characters if they are long.
+ROWS, CELLS = 1_024, 1 << 17
 _FORBIDDEN = -1e4
 
 
@@ -314,8 +314,9 @@ class Reader:
         cut = [(len(x[a : a + WINDOW]), t, a) for t, x in enumerate(texts) for a in range(0, max(1, len(x) - SHARED), step) if len(x)]
         cut.sort()
         near: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
-        for at in range(0, len(cut), ROWS):
-            some = cut[at : at + ROWS]
+        while cut:  # the longest first
+            some = cut[-max(1, min(ROWS, CELLS // cut[-1][0])) :]
+            del cut[-len(some) :]
             for (n, t, a), got in zip(some, self.scores([texts[t][a : a + WINDOW] for _, t, a in some])):
                 lo = SHARED // 2 if a else 0
                 hi = n if a + n == len(texts[t]) else n - SHARED // 2

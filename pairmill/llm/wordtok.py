@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Distinct words, or pieces, that a worker remembers before it starts anew.
-MEMORY = 1_200_000
+MEMORY = 250_000
 _GAPS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPACE = f"[{_GAPS}]"
 _BESIDE = f" {_SPACE}|{_SPACE} |^{_SPACE}|{_SPACE}$"
