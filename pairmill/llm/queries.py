@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from pairmill.llm import fingerprint, licenses, mixing, neardup, neighbours, packing, pii, quality, records, tokencount
+from pairmill.llm import bytebpe, fingerprint, licenses, mixing, neardup, neighbours, packing, pii, quality, records, tokencount
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_mixing": mixing.op9_mixing,
         "op10_neighbours": neighbours.op10_neighbours,
+        "op11_byte_bpe": bytebpe.op11_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
