@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from pairmill.llm import alignment, bytebpe, fingerprint, licenses, mixing, neardup, neighbours, packing, pii, quality, records, tokencount
+from pairmill.llm import alignment, bytebpe, fingerprint, licenses, mixing, neardup, neighbours, packing, pii, quality, records, tokencount, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_neighbours": neighbours.op10_neighbours,
         "op11_byte_bpe": bytebpe.op11_byte_bpe,
+        "op12_whitening": whitening.op12_whitening,
         "op13_alignment": alignment.op13_alignment,
         "pipeline": corpus_pipeline.run,
     }
