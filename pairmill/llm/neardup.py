@@ -7,16 +7,19 @@ that agree in a band are candidates. At a likeness of 0.8 a pair escapes all
 bands with a chance of about 3e-6.
 
 Texts with equal sets (by 128-bit digests) form a class, and classes are what
-is banded. In each of ROUNDS rounds every class of a bucket that still holds
-several components is tried, on full sets, against one centre: the one that
-most of its buckets have. So a round tries no more pairs than there are
-classes, however large a group is; a centre's set is sent once for each PART
-of its classes. Linked classes become one component, and the next round has
-other centres. The classes of buckets that then still hold several components
-meet in blocks of bounded size, bucket by bucket (equal buckets once), where
-those of different components are compared on full sets; a task gives only the
-links that join components. So no bucket is cut and none is expanded into rows
-of pairs, and every two candidates are in one component or were compared.
+is banded. The two classes of a bucket that holds no others are a pair, which
+is tried on full sets: at most BANDS of them for a class. In each of ROUNDS
+rounds every class of a larger bucket that still holds several components is
+tried against one centre: the one that most of its buckets have. So a round
+tries few pairs for each class, however large a group is; a centre's set is
+sent once for each PART of its classes. Linked classes become one component,
+and the next round has other centres. The classes of larger buckets that then
+still hold several components meet in blocks of bounded size, bucket by bucket
+(equal buckets once), where those of different components are compared on full
+sets; a task gives only the links that join components. So no bucket is cut
+and none is expanded into rows of pairs, and every two candidates are in one
+component or were compared: in a bucket of two in the first round, in a larger
+one at last in a block.
 
 Texts without words (null and empty ones too) are linked with nothing.
 Repeated ids and rows are documents of their own; a component's id is the
@@ -123,7 +126,7 @@ def _enough(both: int, x: int, y: int, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the likeness; a is a centre, b stands in one pair.
+    """The pairs (a, b) whose full sets reach the likeness; a is a centre.
 
     The classes of a centre are dealt into parts of about PART; each part
     holds one copy of the centre's set, and its classes' sets stream past it.
@@ -219,7 +222,7 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(crowded: DataFrame, labels: DataFrame, order, least: int) -> DataFrame:
-    """Classes of the buckets that hold several components: bucket, node, n, label, and each bucket's centre: the first in order.
+    """Classes of the buckets of over ``least`` classes that hold several components: bucket, node, n, m, label, and each bucket's centre: the first in order.
 
     Of buckets with the same classes one is taken.
     """
@@ -228,7 +231,7 @@ def _open(crowded: DataFrame, labels: DataFrame, order, least: int) -> DataFrame
     same = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(30,0)")).alias(f"s{k}") for k in (0, 1)]
     by = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), centre, F.sum("n").alias("weight"), *same).where("x <> y")
     one = by.groupBy("s0", "s1").agg(F.min(F.struct("bucket", "c", "weight")).alias("one")).select("one.bucket", "one.c.center", "one.c.cn", "one.c.cl", "one.weight")
-    return placed.join(one, "bucket").select("bucket", "node", "n", "label", "center", "cn", "cl", "weight")
+    return placed.join(one, "bucket").select("bucket", "node", "n", "m", "label", "center", "cn", "cl", "weight")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, name: str = "neardup") -> DataFrame:
@@ -254,7 +257,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, name: st
     for k in range(ROUNDS):
         order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
         tried = _open(crowded, labels, order, 1 if k == 0 else 2).where((F.col("label") != F.col("cl")) & close)
-        pairs = common.written(tried.groupBy(F.col("node").alias("b")).agg(F.mode("center", True).alias("a")).select("a", "b"), f"{name}-pairs")
+        pairs = tried.where("m > 2").groupBy(F.col("node").alias("b")).agg(F.mode("center", True).alias("a")).select("a", "b")
+        if k == 0:  # each bucket of two is settled here
+            pairs = pairs.union(tried.where("m = 2").select(F.col("center").alias("a"), F.col("node").alias("b"))).distinct()
+        pairs = common.written(pairs, f"{name}-pairs")
         links = links.union(common.written(_confirmed(pairs, sets, percent), f"{name}-links"))
         labels = common.written(components(links, f"{name}-{k}"), f"{name}-labels")
         common.dropped(pairs)
