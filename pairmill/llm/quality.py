@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairmill.llm import common
@@ -71,11 +71,16 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.75 * k for k in (1, 2, 3)]
 
 
+def _freed(d: list[float]) -> Column:
+    """Sum of the discounts, from whole numbers: the same in whatever order rows come."""
+    return d[0] * F.count_if(F.col("n") == 1) + d[1] * F.count_if(F.col("n") == 2) + d[2] * F.count_if(F.col("n") > 2)
+
+
 def _discounted(counts: DataFrame, context, d: list[float]) -> tuple[DataFrame, DataFrame]:
     """(counts with their discounted share of the context, context with the mass left for backing off)."""
     off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     rows = counts.withColumn("ctx", context).withColumn("off", off)
-    by = rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("freed"))
+    by = rows.groupBy("ctx").agg(F.sum("n").alias("total"), _freed(d).alias("freed"))
     share = rows.join(by, "ctx").withColumn("p", (F.col("n") - F.col("off")) / F.col("total"))
     return share, by.select("ctx", (F.col("freed") / F.col("total")).alias("left"))
 
@@ -94,7 +99,7 @@ def model(trusted: DataFrame) -> DataFrame:
     # unigrams: a share for each known character, and one more for all unknown ones
     d1 = _discounts(one)
     off = F.when(F.col("n") == 1, d1[0]).when(F.col("n") == 2, d1[1]).otherwise(d1[2])
-    freed = one.agg(F.sum(off).alias("f"))
+    freed = one.agg(_freed(d1).alias("f"))
     unigrams = one.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(freed)).select("c", ((F.col("n") - off) / F.col("t") + F.col("f") / F.col("t") / (F.col("v") + 1)).alias("p"))  # one row each
     unknown = totals.crossJoin(F.broadcast(freed)).select(F.lit(-1).cast("long").alias("c"), (F.col("f") / F.col("t") / (F.col("v") + 1)).alias("p"))
     unigrams = common.written(unigrams.union(unknown), "kn-unigrams")
@@ -246,7 +251,7 @@ def log_probabilities(docs: DataFrame, shards: DataFrame) -> DataFrame:
 
     both = left.unionByName(_blocks(docs, copies)).repartition(common.partitions(docs.sparkSession), "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     sums = both.mapInArrow(run, "block long, row long, log_p double, doc_id long, hash long, size long")
-    return sums.groupBy("block", "row").agg(F.round(F.sum("log_p"), 6).alias("log_p"), F.max("doc_id").alias("doc_id"), F.max("hash").alias("hash"), F.max("size").alias("size")).drop("block", "row")
+    return sums.groupBy("block", "row").agg(F.round(F.sum(F.col("log_p").cast("decimal(38,12)")), 6).cast("double").alias("log_p"), F.max("doc_id").alias("doc_id"), F.max("hash").alias("hash"), F.max("size").alias("size")).drop("block", "row")
 
 
 def _partial(name, row, log_p, ids, hashes, sizes):
@@ -255,6 +260,33 @@ def _partial(name, row, log_p, ids, hashes, sizes):
     return pa.record_batch({"block": pa.array([name] * n, pa.int64()), "row": pa.array(row, pa.int64()), "log_p": pa.array(log_p, pa.float64()), "doc_id": column(ids), "hash": column(hashes), "size": column(sizes)})
 
 
+#: Cells of a value's whole unit in which an exact quantile counts first.
+CELLS = 100
+
+
+def exact_quantile(rows: DataFrame, by: list[str], value: str, quantile: float) -> DataFrame:
+    """by and at: the least value that the share ``quantile`` of its group's rows doesn't pass.
+
+    Rows are counted by cell, the running counts of a group's cells find the
+    one that holds the quantile, and the counts of that cell's values (of six
+    places, so a cell has few) find the value. All are whole numbers: the
+    result doesn't depend on how rows are dealt into partitions.
+    """
+    cell = F.floor(F.col(value) * CELLS)
+    rows = rows.select(*by, F.col(value).alias("v__"), cell.alias("cell__"))
+    cells = rows.groupBy(*by, "cell__").agg(F.count("*").alias("n__"))
+    upto = lambda order: F.sum("n__").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    least = F.greatest(F.lit(1), F.ceil(F.sum("n__").over(Window.partitionBy(*by)) * F.lit(quantile) - 1e-9))
+    found = cells.select(*by, "cell__", "n__", upto("cell__").alias("upto__"), least.alias("least__")).where("upto__ >= least__ AND upto__ - n__ < least__")
+    found = found.select(*[F.col(c).alias(f"{c}_of__") for c in by], F.col("cell__").alias("at__"), (F.col("least__") - F.col("upto__") + F.col("n__")).alias("rest__"))
+    same = F.col("cell__") == F.col("at__")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of__"))
+    values = rows.join(found, same).groupBy(*by, "v__", "rest__").agg(F.count("*").alias("n__"))
+    values = values.select(*by, "v__", "n__", "rest__", upto("v__").alias("upto__"))
+    return values.where("upto__ >= rest__ AND upto__ - n__ < rest__").select(*by, F.col("v__").alias("at"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, hash, lang, log_p, perplexity, threshold and kept of each row of docs.
 
@@ -270,9 +302,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     of = scored.select("doc_id", "hash", "log_p", F.round(perplexity, 6).alias("perplexity")).distinct()
     rows = langs.join(of, langs["doc_id"].eqNullSafe(of["doc_id"]) & (langs["hash"] == of["hash"])).select(langs["doc_id"], langs["hash"], "lang", "log_p", "perplexity")
     sure = rows.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    cut = F.percentile_approx("perplexity", quantile, 10_000)
-    by = sure.groupBy("lang").agg(cut.alias("own"))  # a row for each language
-    everywhere = sure.agg(cut.alias("any"))
+    by = exact_quantile(sure, ["lang"], "perplexity", quantile).withColumnRenamed("at", "own")  # a row for each language
+    everywhere = exact_quantile(sure.withColumn("all", F.lit(0)), ["all"], "perplexity", quantile).select(F.max("at").alias("any"))
     rows = rows.join(by, rows["lang"].eqNullSafe(by["lang"]), "left").drop(by["lang"]).crossJoin(F.broadcast(everywhere))  # one row
     threshold = F.coalesce("own", "any")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
