@@ -123,13 +123,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("pm_hash__", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def decided(docs: DataFrame, decisions: DataFrame, how: str, names: tuple[str, ...] = ()) -> DataFrame:
-    """docs joined with a decision table by id and text hash (columns doc_id and hash).
+def decided(docs: DataFrame, decisions: DataFrame, how: str, names: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """docs joined with a decision table by id and text hash (columns doc_id and hash), and by what also names.
 
     how: left_anti drops the rows in decisions; inner brings the named columns.
     """
-    side = decisions.select(F.col("doc_id").alias("pm_id__"), F.col("hash").alias("pm_h__"), *names)
+    side = decisions.select(F.col("doc_id").alias("pm_id__"), F.col("hash").alias("pm_h__"), *[F.col(c).alias(f"pm_{c}__") for c in also], *names)
     side = F.broadcast(side) if side.count() <= SENT_ROWS else side
     rows = keyed(docs)
     same = (rows["pm_hash__"] == F.col("pm_h__")) & F.col("doc_id").cast("long").eqNullSafe(F.col("pm_id__"))
+    for c in also:
+        same = same & F.col(c).cast("string").eqNullSafe(F.col(f"pm_{c}__"))
     return rows.join(side, same, how).select(*docs.columns, *names)

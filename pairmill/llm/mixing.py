@@ -157,18 +157,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
+    """docs with every row as often as the mix takes it.
+
+    Rows of one id, text and source share their copies out: each distinct one
+    with its repetitions takes its part, the first in order one more.
+    """
     own = docs.columns
-    copies = common.written(mix(docs, **how).groupBy("doc_id", "hash", "source").agg(F.sum("copies").alias("pm_copies__"), F.count("*").alias("pm_rows__")), "mix-copies")
-    if copies.where("pm_rows__ > 1").isEmpty():
-        rows = common.decided(docs, copies.where("pm_copies__ > 0"), "inner", ("pm_copies__",))
-    else:  # repeated rows of one id and text share their copies out
-        copies = copies.groupBy("doc_id", "hash").agg(F.sum("pm_copies__").alias("pm_copies__"), F.sum("pm_rows__").alias("pm_rows__"))
-        rows = common.decided(docs, copies, "inner", ("pm_copies__", "pm_rows__"))
-        number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source"))
+    key = ["doc_id", "hash", "source"]
+    copies = common.written(mix(docs, **how).groupBy(*key).agg(F.sum("copies").alias("pm_copies__"), F.count("*").alias("pm_rows__")), "mix-copies")
+    taken = copies.where("pm_copies__ > 0")
+    rows = common.decided(docs, taken.where("pm_rows__ = 1"), "inner", ("pm_copies__",), ("source",))
+    if not taken.where("pm_rows__ > 1").isEmpty():
+        again = common.decided(docs, taken.where("pm_rows__ > 1"), "inner", ("pm_copies__", "pm_rows__"), ("source",))
+        kinds = common.written(again.groupBy(*again.columns).agg(F.count("*").alias("pm_n__")), "mix-again")  # repeated rows are counted before they are shuffled
+        before = F.sum("pm_n__").over(Window.partitionBy("doc_id", F.xxhash64("text"), "source").orderBy(*own)) - F.col("pm_n__")
         whole = F.floor(F.col("pm_copies__") / F.col("pm_rows__"))
-        more = F.when(F.col("pm_rows__") > 1, (number <= F.col("pm_copies__") - whole * F.col("pm_rows__")).cast("long")).otherwise(F.lit(0))
-        rows = rows.withColumn("pm_copies__", whole + more).where("pm_copies__ > 0")
+        more = F.greatest(F.lit(0), F.least(F.col("pm_n__"), F.col("pm_copies__") - whole * F.col("pm_rows__") - F.col("pm_before__")))
+        kinds = kinds.withColumn("pm_before__", before).withColumn("pm_copies__", whole * F.col("pm_n__") + more).where("pm_copies__ > 0")
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("pm_copies__") - 1) / OPENED)))
+        parts = kinds.withColumn("pm_part__", part).withColumn("pm_copies__", F.least(F.lit(OPENED), F.col("pm_copies__") - F.col("pm_part__") * OPENED))
+        parts = parts.repartition(common.partitions(docs.sparkSession), F.xxhash64("doc_id", "pm_part__"))  # a row that is taken very often is opened by several tasks
+        rows = rows.unionByName(parts.select(*own, "pm_copies__"))
     return rows.withColumn("pm_copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pm_copies__")))).select(*own)
 
 
