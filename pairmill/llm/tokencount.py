@@ -1,8 +1,9 @@
 """Token counts by a count-only Viterbi over a unigram vocabulary (operator 3).
 
 Blanks are written as the mark that starts a word, and one stands before the
-text; no piece reaches over the start of a word, so words are segmented apart
-and every different word of a step once. An Aho-Corasick automaton gives all
+text; no piece holds a mark behind another character (runs of marks at a
+piece's start there are), so a word is segmented apart with the whole run of
+blanks before it, and every different word of a step once. An Aho-Corasick automaton gives all
 pieces that end at a position, longest first; the best score and the number of
 pieces of the best way there are all that is kept. Ties go to the piece that
 starts first, and characters that no piece covers cost the least score less
@@ -14,6 +15,8 @@ A null or empty text has 0 tokens. Repeated rows and ids give a row each.
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairmill.llm import common
 
 MARK = "▁"
+_RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Below the least score of the vocabulary by which an unknown character stands: the library's value.
 UNKNOWN = 10.0
 #: Different words that a worker remembers before it starts anew.
@@ -87,9 +91,11 @@ class Counter:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if len(self.seen) > MEMORY:
             self.seen = {}
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, f"^ |  | $|{MARK}|^$").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(column, " ")
         kinds = split.flatten().dictionary_encode()
-        words = kinds.dictionary.to_pylist()
+        words = kinds.dictionary.to_numpy(zero_copy_only=False).tolist()
         seen = self.seen
         for w in words:
             if w not in seen:
@@ -98,23 +104,15 @@ class Counter:
         upto = np.concatenate([[0], np.cumsum(table[kinds.indices.to_numpy(zero_copy_only=False)])])
         offs = split.offsets.to_numpy().astype(np.int64)
         out = np.diff(upto[offs - offs[0]])
-        mark = seen.get("", 0) if "" in seen else self.count(MARK)
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = 0
-            elif t[0] == " " or t[0] == MARK:
-                # a text that starts with the mark gets no other before it
-                out[i] -= mark if t[0] == " " else self.count(MARK + t.split(" ", 1)[0]) - self._marked(t.split(" ", 1)[0])
-            if MARK in t[1:]:
-                out[i] = self._marked(t.replace(" ", MARK))
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._marked(texts[i].replace(" ", MARK))
         return out
 
     def _marked(self, text: str) -> int:
-        """Tokens of a text in which marks stand for blanks."""
+        """Tokens of a text in which marks stand for blanks; one that starts with the mark gets no other before it."""
         if not text:
             return 0
-        text = text if text[0] == MARK else MARK + text
-        return sum(self.count(MARK + w) for w in text.split(MARK)[1:])
+        return sum(map(self.count, _RUNS.findall(text if text[0] == MARK else MARK + text)))
 
 
 _counters: dict[str, Counter] = {}
