@@ -16,37 +16,29 @@ def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def scored(queries: DataFrame, corpus: DataFrame, score: str = "cosine") -> DataFrame:
-    """query_id, corpus_id, score of every query (query_id, qv) with every corpus row (corpus_id, cv).
-
-    The stated queries meet the corpus in blocks: a small query side is sent
-    whole, a larger one dealt over blocks.
-    """
-    f = vectors.SCORES[score]
-    if score == "cosine":
-        queries = queries.withColumn("qv", vectors.normalised(F.col("qv")))
-        corpus = corpus.withColumn("cv", vectors.normalised(F.col("cv")))
-        f = vectors.dot
-    return corpus.crossJoin(sent(queries)).select("query_id", "corpus_id", F.round(f(F.col("qv"), F.col("cv")), 6).alias("score"))
-
-
 def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query; ties to the larger id. The window's limit is pushed before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("corpus_id").desc())
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int], keys: list[str] = []) -> DataFrame:
+def metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int], keys: list[str] = [], sets: list[str] = []) -> DataFrame:
     """One row a k: accuracy, precision, recall, MRR, nDCG, MAP over the queries with relevant rows.
 
     ranked: query_id, corpus_id, rank; relevant: query_id, corpus_id; keys:
-    further columns of ranked that tell runs apart.
+    further columns of ranked that tell runs apart; sets: columns of both that
+    tell data sets apart.
     """
-    relevant = relevant.select("query_id", "corpus_id").distinct()
-    size = relevant.groupBy("query_id").agg(F.count("*").alias("r"))
+    relevant = relevant.select(*sets, "query_id", "corpus_id").distinct()
+    size = relevant.groupBy(*sets, "query_id").agg(F.count("*").alias("r"))
     runs = ranked.select(*keys).distinct() if keys else None
     asked = size.crossJoin(sent(runs)) if keys else size
-    hits = ranked.join(relevant, ["query_id", "corpus_id"])
+    hits = ranked.join(relevant, [*sets, "query_id", "corpus_id"])
+    return measured(hits.select(*keys, *sets, "query_id", "rank"), asked, ks, [*keys, *sets])
+
+
+def measured(hits: DataFrame, asked: DataFrame, ks: list[int], keys: list[str] = []) -> DataFrame:
+    """keys and k with their metrics. hits: keys, query_id and rank of each relevant row found; asked: keys, query_id and r (how many are relevant) of every query."""
     run = Window.partitionBy(*keys, "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.select(*keys, "query_id", "rank", F.count("*").over(run).alias("h"))
     each = asked.join(hits.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("hits")), [*keys, "query_id"], "left")
@@ -81,14 +73,20 @@ def ranking_loss(pairs: DataFrame, scale: float = 20.0) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, corpus_id, score. docs: corpus_id, text; queries: query_id, text. Words between white space, lowered."""
-    words = lambda df, i: df.select(i, F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"))
-    tf = words(docs, "corpus_id").groupBy("corpus_id", "word").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("corpus_id").agg(F.sum("tf").alias("size"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    """query_id, corpus_id, score. docs: corpus_id, text; queries: query_id, text. Words between white space, lowered.
+
+    A document's words are counted in its row, and only those that a query
+    asks for leave it: their distinct words, where they are few enough, are
+    sent to all tasks, else joined by word.
+    """
+    split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    asked = queries.select("query_id", F.explode(F.array_distinct(split)).alias("word")).distinct()
+    rows = docs.select("corpus_id", split.alias("words")).where(F.size("words") > 0)
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    each = rows.select("corpus_id", F.size("words").alias("size"), F.explode("words").alias("word"))
+    tf = each.join(sent(asked.select("word").distinct()), "word", "left_semi").groupBy("corpus_id", "word", "size").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    asked = words(queries, "query_id").distinct()
-    hits = tf.join(asked.join(df, "word"), "word").join(size, "corpus_id").crossJoin(F.broadcast(stats))  # one row
+    hits = tf.join(asked.join(df, "word"), "word").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     return hits.groupBy("query_id", "corpus_id").agg(F.round(F.sum(part), 6).alias("score"))

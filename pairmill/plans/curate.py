@@ -93,11 +93,6 @@ def isin(spark, sf):
     return t(spark, sf, "events").where(F.col("event_type").isin("click", "view")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("f17_threshold_to_empty", "SELECT doc_id, CASE WHEN length(text) > 5800 THEN '' ELSE substr(text, 1, 20) END AS head FROM documents")
-def threshold(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 5800, "").otherwise(F.substring("text", 1, 20)).alias("head"))
-
-
 @query("f17_threshold_to_empty_all", "SELECT doc_id, CASE WHEN length(text) > 5800 THEN '' ELSE text END AS text FROM documents")
 def threshold_all(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 5800, "").otherwise(F.col("text")).alias("text"))

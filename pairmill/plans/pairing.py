@@ -171,12 +171,6 @@ def pad_and_mask(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.slice(F.concat(ws, zeros), 1, 6).alias("ids"), F.slice(F.concat(F.transform(ws, lambda w: F.lit(1)), zeros), 1, 6).alias("mask"))
 
 
-@query("c18_blank_to_space", "SELECT doc_id, CASE WHEN trim(substr(text, 1, 1)) = '' THEN ' ' ELSE substr(text, 1, 1) END AS head FROM documents")
-def blank(spark, sf):
-    head = F.substring("text", 1, 1)
-    return t(spark, sf, "documents").select("doc_id", F.when(F.trim(head) == "", " ").otherwise(head).alias("head"))
-
-
 #: A character that is no white space, as str.strip has it.
 _FILLED = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairmill.functions import vectors as vx
-from pairmill.operators import retrieval
+from pairmill.operators import blocks, retrieval
 from pairmill.plans.curate import t
 from pairmill.plans.registry import query
 
-_SIDES = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id < 50), c AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS cv, label AS cl FROM embeddings WHERE vec_id >= 50)"
 #: Every row whose id 100 divides, against all rows but itself.
-_ALL_SIDES = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS cv, label AS cl FROM embeddings)"
+_SIDES = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS cv, label AS cl FROM embeddings)"
 _APART = " WHERE qid <> cid"
 
 
@@ -24,87 +23,51 @@ def _score(score: str) -> str:
     }[score]
 
 
-def _ranked(score: str, k: int, sides: str = _SIDES, apart: str = "") -> str:
-    return f"WITH {sides}, s AS (SELECT qid, cid, ql, cl, round({_score(score)}, 6) AS score FROM q, c{apart}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid DESC) AS rank FROM s QUALIFY rank <= {k})"
+def _ranked(score: str, k: int) -> str:
+    return f"WITH {_SIDES}, s AS (SELECT qid, cid, ql, cl, round({_score(score)}, 6) AS score FROM q, c{_APART}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid DESC) AS rank FROM s QUALIFY rank <= {k})"
 
 
 def sides(spark, sf):
-    e = t(spark, sf, "embeddings")
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    c = e.where("vec_id >= 50").select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("cv"), F.col("label").alias("cl"))
-    return q, c
-
-
-def all_sides(spark, sf):
     e = t(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
     return q, e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("cv"), F.col("label").alias("cl"))
 
 
-def _top(score, sides=sides):
+def _top(score):
     def run(spark, sf):
         q, c = sides(spark, sf)
-        top = retrieval.top_k(retrieval.scored(q.drop("ql"), c.drop("cl"), score).where("query_id <> corpus_id"), 10)
-        return top.select("query_id", "corpus_id", "score", F.col("rank").cast("long").alias("rank"))
+        return blocks.top_k(q, c, score, 10, apart=True).withColumn("rank", F.col("rank").cast("long"))
 
     return run
 
 
 for _id, _name in (("v01", "cosine"), ("v02", "dot"), ("v03a", "manhattan"), ("v03b", "euclidean")):
-    query(f"{_id}_{_name}_topk", f"{_ranked(_name, 10)} SELECT qid AS query_id, cid AS corpus_id, score, rank FROM r")(_top(_name))
-    query(f"{_id}_{_name}_topk_all", f"{_ranked(_name, 10, _ALL_SIDES, _APART)} SELECT qid AS query_id, cid AS corpus_id, score, rank FROM r")(_top(_name, all_sides))
-
-
-@query(
-    "r07_retrieval_metrics",
-    f"""{_ranked("cosine", 10)}, n AS (SELECT ql, count(*) AS n FROM (SELECT DISTINCT ql FROM q) JOIN c ON cl = ql GROUP BY 1), h AS (SELECT qid, rank, sum(1) OVER (PARTITION BY qid ORDER BY rank) AS h FROM r WHERE ql = cl),
-    b AS (SELECT q.qid, n.n AS r, k FROM q JOIN n USING (ql), (SELECT unnest([1, 3, 5, 10]) AS k)),
-    m AS (SELECT b.qid, b.k, b.r, count(h.rank) AS hits, coalesce(1.0 / min(h.rank), 0) AS mrr, coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg, coalesce(sum(h.h / h.rank), 0) AS ap FROM b LEFT JOIN h ON h.qid = b.qid AND h.rank <= b.k GROUP BY 1, 2, 3)
-    SELECT k, round(avg((hits > 0)::INT), 6) AS accuracy, round(avg(hits / k), 6) AS precision, round(avg(hits / r), 6) AS recall, round(avg(mrr), 6)::DOUBLE AS mrr, round(avg(dcg / list_sum(list_transform(range(1, least(k, r) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg(ap / least(k, r)), 6) AS map, count(*)::BIGINT AS n_queries FROM m GROUP BY k""",
-)
-def retrieval_metrics(spark, sf):
-    q, c = sides(spark, sf)
-    top = retrieval.top_k(retrieval.scored(q.drop("ql"), c.drop("cl"), "cosine"), 10)
-    relevant = c.select("corpus_id", "cl").join(retrieval.sent(q.select("query_id", "ql")), F.col("cl") == F.col("ql"))
-    return retrieval.metrics(top, relevant, [1, 3, 5, 10])
+    query(f"{_id}_{_name}_topk_all", f"{_ranked(_name, 10)} SELECT qid AS query_id, cid AS corpus_id, score, rank FROM r")(_top(_name))
 
 
 @query(
     "r07_retrieval_metrics_all",
-    f"""{_ranked("cosine", 10, _ALL_SIDES, _APART)}, n AS (SELECT qid, count(*) AS n FROM q JOIN c ON cl = ql AND cid <> qid GROUP BY 1), h AS (SELECT qid, rank, sum(1) OVER (PARTITION BY qid ORDER BY rank) AS h FROM r WHERE ql = cl),
+    f"""{_ranked("cosine", 10)}, n AS (SELECT qid, count(*) AS n FROM q JOIN c ON cl = ql AND cid <> qid GROUP BY 1), h AS (SELECT qid, rank, sum(1) OVER (PARTITION BY qid ORDER BY rank) AS h FROM r WHERE ql = cl),
     b AS (SELECT qid, n AS r, k FROM n, (SELECT unnest([1, 3, 5, 10]) AS k)),
     m AS (SELECT b.qid, b.k, b.r, count(h.rank) AS hits, coalesce(1.0 / min(h.rank), 0) AS mrr, coalesce(sum(1 / log2(h.rank + 1)), 0) AS dcg, coalesce(sum(h.h / h.rank), 0) AS ap FROM b LEFT JOIN h ON h.qid = b.qid AND h.rank <= b.k GROUP BY 1, 2, 3)
     SELECT k, round(avg((hits > 0)::INT), 6) AS accuracy, round(avg(hits / k), 6) AS precision, round(avg(hits / r), 6) AS recall, round(avg(mrr), 6)::DOUBLE AS mrr, round(avg(dcg / list_sum(list_transform(range(1, least(k, r) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg(ap / least(k, r)), 6) AS map, count(*)::BIGINT AS n_queries FROM m GROUP BY k""",
 )
 def retrieval_metrics_all(spark, sf):
-    q, c = all_sides(spark, sf)
-    top = retrieval.top_k(retrieval.scored(q.drop("ql"), c.drop("cl"), "cosine").where("query_id <> corpus_id"), 10)
-    same = (F.col("cl") == F.col("ql")) & (F.col("corpus_id") != F.col("query_id"))
-    relevant = c.select("corpus_id", "cl").join(retrieval.sent(q.select("query_id", "ql")), same)
-    return retrieval.metrics(top, relevant, [1, 3, 5, 10])
-
-
-@query(
-    "v04_hamming_topk",
-    f"WITH {_SIDES}, s AS (SELECT qid, cid, list_sum(list_transform(list_zip(qv, cv), lambda z: ((z[1] >= 0) = (z[2] >= 0))::INT))::DOUBLE AS score FROM q, c) SELECT qid AS query_id, cid AS corpus_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid DESC) AS rank FROM s QUALIFY rank <= 10",
-)
-def hamming_topk(spark, sf):
-    return _hamming(*sides(spark, sf))
+    """Rows of a query's label are relevant: k rows are joined with labels, and counts of labels say how many there are."""
+    q, c = sides(spark, sf)
+    top = blocks.top_k(q, c, "cosine", 10, apart=True)
+    labels = c.select("corpus_id", "cl").where("cl IS NOT NULL")
+    hits = top.join(labels, "corpus_id").join(q.select("query_id", F.col("ql").alias("cl")), ["query_id", "cl"]).select("query_id", "rank")
+    r = labels.groupBy(F.col("cl").alias("ql")).agg((F.count("*") - 1).alias("r"))
+    return retrieval.measured(hits, q.join(r, "ql").where("r > 0").select("query_id", "r"), [1, 3, 5, 10])
 
 
 @query(
     "v04_hamming_topk_all",
-    f"WITH {_ALL_SIDES}, s AS (SELECT qid, cid, list_sum(list_transform(list_zip(qv, cv), lambda z: ((z[1] >= 0) = (z[2] >= 0))::INT))::DOUBLE AS score FROM q, c{_APART}) SELECT qid AS query_id, cid AS corpus_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid DESC) AS rank FROM s QUALIFY rank <= 10",
+    f"WITH {_SIDES}, s AS (SELECT qid, cid, list_sum(list_transform(list_zip(qv, cv), lambda z: ((z[1] >= 0) = (z[2] >= 0))::INT))::DOUBLE AS score FROM q, c{_APART}) SELECT qid AS query_id, cid AS corpus_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid DESC) AS rank FROM s QUALIFY rank <= 10",
 )
 def hamming_topk_all(spark, sf):
-    return _hamming(*all_sides(spark, sf))
-
-
-def _hamming(q, c):
-    q = q.select("query_id", vx.packed_bytes(F.col("qv")).alias("qb"))
-    c = c.select("corpus_id", vx.packed_bytes(F.col("cv")).alias("cb"))
-    s = c.crossJoin(retrieval.sent(q)).where("query_id <> corpus_id").select("query_id", "corpus_id", vx.hamming(F.col("qb"), F.col("cb")).alias("score"))
-    return retrieval.top_k(s, 10).withColumn("rank", F.col("rank").cast("long"))
+    return _top("hamming")(spark, sf)
 
 
 @query("v06_signs", "SELECT vec_id, list_transform(embedding, lambda x: sign(x)::INTEGER) AS signs FROM embeddings")
@@ -168,21 +131,6 @@ def loss(spark, sf):
     return retrieval.ranking_loss(pairs)
 
 
-@query(
-    "r19_bm25",
-    r"""WITH d AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM d GROUP BY 1, 2),
-    dl AS (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS mean FROM dl), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
-    q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM benchmark WHERE item_id < 5),
-    s AS (SELECT item_id AS query_id, doc_id AS corpus_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN q USING (word) JOIN df USING (word) JOIN dl USING (doc_id), st GROUP BY 1, 2)
-    SELECT query_id, corpus_id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, corpus_id DESC) <= 5""",
-)
-def bm25(spark, sf):
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("corpus_id"), "text")
-    asked = t(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
-    s = retrieval.bm25(docs, asked).withColumn("score", F.round("score", 4))
-    return retrieval.top_k(s, 5).drop("rank")
-
-
 @query(
     "r19_bm25_all",
     r"""WITH d AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM d GROUP BY 1, 2),
