@@ -34,7 +34,6 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +106,7 @@ def _shards(words: pa.Array, shards: int) -> np.ndarray:
     return ((value ^ value >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % shards
 
 
-_BLOCK = "block long, doc_ids array<long>, sizes array<long>, places binary, shards array<int>, words array<binary>"
+_BLOCK = "doc_ids array<long>, sizes array<long>, places binary, shards array<int>, words array<binary>"
 
 
 def _blocks(docs: DataFrame, shards: int) -> DataFrame:
@@ -118,7 +117,6 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches):
-        name = TaskContext.get().partitionId() << 32
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for b in common.steps(batch, limit=BLOCK_BYTES):
@@ -132,7 +130,6 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
                 bodies = [pack.compress(np.array([z - a], "<i8").tobytes() + np.diff(ends[a : z + 1]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + raw[ends[a] : ends[z]].tobytes()) for a, z in zip(cuts, cuts[1:])]
                 yield pa.record_batch(
                     {
-                        "block": pa.array([name], pa.int64()),
                         "doc_ids": pa.array([b["doc_id"].to_pylist()], pa.list_(pa.int64())),
                         "sizes": pa.array([np.diff(offs)], pa.list_(pa.int64())),
                         "places": pa.array([packed(number[codes])], pa.binary()),
@@ -140,7 +137,6 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
                         "words": pa.array([bodies], pa.list_(pa.binary())),
                     }
                 )
-                name += 1
 
     return common.texts(docs).mapInArrow(run, _BLOCK)
 
@@ -196,7 +192,7 @@ def _documents(batches):
 
 #: The blocks are named by a function that isn't deterministic, so Spark shuffles them once and reads that exchange twice.
 _ASSEMBLED = """
-WITH b AS (SELECT /*+ REPARTITION({n}, block) */ *, monotonically_increasing_id() AS once FROM {blocks}),
+WITH b AS (SELECT /*+ REPARTITION({n}, block) */ * FROM (SELECT monotonically_increasing_id() AS block, * FROM {blocks})),
 w AS (SELECT /*+ REPARTITION({n}, shard) */ block, w.shards AS shard, w.words AS body FROM b LATERAL VIEW explode(arrays_zip(shards, words)) AS w),
 e AS (SELECT block, shard, pm_encode_words__(shard, body) AS ids FROM (SELECT * FROM w SORT BY shard)),
 g AS (SELECT block, collect_list(struct(shard, ids)) AS encoded FROM e GROUP BY block)
