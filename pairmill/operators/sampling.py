@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmill.functions.text import bucket
+from pairmill.operators.positions import hashed, ranked, same
 
 
 def split_by_hash(df: DataFrame, key: str, val: float, test: float, seed: int = 42) -> DataFrame:
@@ -14,19 +15,10 @@ def split_by_hash(df: DataFrame, key: str, val: float, test: float, seed: int =
     return df.withColumn("split", F.when(at < test, "test").when(at < test + val, "validation").otherwise("train"))
 
 
-def hashed(key: Column, seed: int = 42) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
-
-
 def stratified(df: DataFrame, strata: list[str], key: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds held_out: true for round(share * n) rows of each stratum, the first by hash.
-
-    A stratum's rows are ranked in one sorted run, which spills; a stratum of
-    most rows is better cut by split_by_hash, which moves nothing.
-    """
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(hashed(F.col(key), seed), key))
-    return df.withColumn("held_out", rank <= F.bround(F.count("*").over(w) * share))
+    """Adds held_out: true for round(share * n) rows of each stratum, the first by hash."""
+    rows = ranked(df, strata, key, seed, "rank__")
+    return rows.withColumn("held_out", F.col("rank__") < F.bround(F.col("n") * share)).drop("rank__", "n")
 
 
 def capped(df: DataFrame, strata: list[str], key: str, most: int, seed: int = 42) -> DataFrame:
@@ -40,6 +32,12 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(hashed(F.col(key), seed), key).limit(n)
 
 
+def quota_sampled(df: DataFrame, cell: str, key: str, quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """The first rows by hash of each cell, as many as quotas (cell, quota) say."""
+    rows = ranked(df, [cell], key, seed, "rank__")
+    return same(rows, quotas, [cell]).where("rank__ < quota").drop("rank__", "n", "quota")
+
+
 def quota(counts: list[int], total: int) -> list[int]:
     """An even share for each cell, capped by its count; what is left goes to the last."""
     share = total // len(counts) if counts else 0
@@ -54,13 +52,12 @@ def weighted_batches(rows: DataFrame, source: str, key: str, size: int, weights:
 
     weights: source, weight. Batches come in the order of a hash of seed and epoch.
     """
-    w = Window.partitionBy(source).orderBy(hashed(F.col(key), seed), key)
-    placed = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    placed = ranked(rows, [source], key, seed, "rank__").withColumn("batch", F.floor(F.col("rank__") / size)).drop("rank__", "n")
     have = placed.groupBy(source).agg((F.max("batch") + 1).alias("have")).join(weights, source)
     takes = have.withColumn("takes", F.bround(F.col("have") * F.col("weight")).cast("long"))
     takes = takes.where("takes > 0").select(source, "have", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)).alias("turn"))
     takes = takes.withColumn("batch", F.pmod("turn", "have")).withColumn("order", F.md5(F.concat_ws("#", F.col(source), F.col("turn").cast("string"), F.lit(str(seed + epoch)))))
-    takes = takes.withColumn("batch_seq", F.row_number().over(Window.orderBy("order")) - 1)  # a row for each batch
+    takes = ranked(takes, [], "order", name="batch_seq").drop("n")
     return placed.join(takes.select(source, "batch", "turn", "batch_seq"), [source, "batch"])
 
 
@@ -72,28 +69,3 @@ def interleaved(rows: DataFrame, source: str, key: str) -> DataFrame:
     longest = n.agg(F.max("_n").alias("_most"))
     times = F.explode(F.sequence(F.col("_rn"), F.col("_most") - 1, F.col("_n")))
     return placed.join(n, source).crossJoin(F.broadcast(longest)).withColumn("round", times).drop("_rn", "_n", "_most")
-
-
-def no_repeats(rows, source: str, texts: list[str], size: int):
-    """Adds batch: within a source no text stands twice in a batch, greedy in order of id; runs group by group."""
-    import pandas as pd
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_, out, made = [], [], 0
-        for row in pdf.sort_values("id")[texts].itertuples(index=False):
-            own = set(row)
-            for b in open_:
-                if b[1] < size and not (own & b[2]):
-                    break
-            else:
-                b = [made, 0, set()]
-                made += 1
-                open_.append(b)
-            b[1] += 1
-            b[2] |= own
-            out.append(b[0])
-            open_ = [x for x in open_ if x[1] < size]
-        return pdf.sort_values("id").assign(batch=out)
-
-    schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ", batch long"
-    return rows.groupBy(source).applyInPandas(place, schema)

@@ -384,8 +384,7 @@ def quota(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id", "lang")
     counts = docs.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     quotas = spark.createDataFrame(list(zip([r[0] for r in counts], sampling.quota([r[1] for r in counts], 200))), "lang string, quota long")
-    w = Window.partitionBy("lang").orderBy(sampling.hashed(F.col("doc_id")), "doc_id")
-    return docs.join(sent(quotas), "lang").withColumn("rn", F.row_number().over(w)).where("rn <= quota").select("doc_id", "lang")
+    return sampling.quota_sampled(docs, "lang", "doc_id", sent(quotas)).select("doc_id", "lang")
 
 
 @query(

@@ -36,11 +36,6 @@ def both_strings(spark, sf):
     return t(spark, sf, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id")
 
 
-@query("f18_metric_prefix", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'STANDARD')")
-def metric_prefix(spark, sf):
-    return t(spark, sf, "part").where(F.col("p_type").startswith("STANDARD")).select("p_partkey", "p_type")
-
-
 @query("j02_left_with_suffix", "SELECT c.c_custkey AS key, c.c_name AS name, n.n_name AS name_right FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def left_with_suffix(spark, sf):
     left = t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("at"))
@@ -79,84 +74,6 @@ def distinct_values(spark, sf):
     return t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
 
 
-def _metrics(spark, sf):
-    """model, data (a subset), metric, value."""
-    rows = t(spark, sf, "orders")
-    return rows.select(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("data"), F.concat(F.lit("ndcg@"), F.pmod("o_custkey", F.lit(3)).cast("string")).alias("metric"), (F.col("o_custkey") / 1000.0).alias("value"))
-
-
-_METRICS = "(SELECT o_orderpriority AS model, o_orderstatus AS data, 'ndcg@' || (o_custkey % 3) AS metric, o_custkey / 1000.0 AS value FROM orders)"
-
-
-@query("a23_mean_over_files", f"SELECT model, metric, round(avg(value), 6)::DOUBLE AS value FROM {_METRICS} GROUP BY 1, 2")
-def mean_over_files(spark, sf):
-    return _metrics(spark, sf).groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("value"))
-
-
-#: Ways to put the values of several sets together.
-AGGREGATES = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "least": F.min}
-
-
-@query("a25_macro_aggregate", f"SELECT model, metric, round(avg(v), 6)::DOUBLE AS value FROM (SELECT model, metric, data, avg(value) AS v FROM {_METRICS} GROUP BY ALL) GROUP BY 1, 2")
-def macro_aggregate(spark, sf, how: str = "mean"):
-    by = _metrics(spark, sf).groupBy("model", "metric", "data").agg(F.avg("value").alias("v"))
-    return by.groupBy("model", "metric").agg(F.round(AGGREGATES[how](F.col("v")), 6).alias("value"))
-
-
-@query("x08_any_aggregate", f"SELECT model, round(min(value), 6)::DOUBLE AS least, round(quantile_cont(value, 0.5), 6)::DOUBLE AS median FROM {_METRICS} GROUP BY 1")
-def any_aggregate(spark, sf):
-    return _metrics(spark, sf).groupBy("model").agg(F.round(AGGREGATES["least"](F.col("value")), 6).alias("least"), F.round(AGGREGATES["median"](F.col("value")), 6).alias("median"))
-
-
-@query("r12_subsets", f"SELECT data, metric, count(*) AS n, round(avg(value), 6)::DOUBLE AS value FROM {_METRICS} GROUP BY GROUPING SETS ((data, metric), (metric))")
-def subsets(spark, sf):
-    """Every subset's value and that of all together."""
-    m = _metrics(spark, sf)
-    one = lambda by: m.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
-    return one(["data", "metric"]).unionByName(one(["metric"]), allowMissingColumns=True)
-
-
-#: Benchmarks by name: where each one lies and what it splits into.
-BENCHMARKS = {"orders": ("orders", ("F", "O", "P")), "parts": ("part", ())}
-
-
-@query("r13_benchmark_registry", "SELECT 'orders' AS name, o_orderstatus AS subset, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'parts', NULL, count(*) FROM part")
-def benchmark_registry(spark, sf):
-    out = None
-    for name, (table, parts) in BENCHMARKS.items():
-        rows = t(spark, sf, table)
-        own = rows.where(F.col("o_orderstatus").isin(*parts)).groupBy(F.col("o_orderstatus").alias("subset")).agg(F.count("*").alias("n")) if parts else rows.agg(F.count("*").alias("n")).withColumn("subset", F.lit(None).cast("string"))
-        own = own.select(F.lit(name).alias("name"), "subset", "n")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-@query("r14_not_yet_evaluated", "SELECT DISTINCT o_orderpriority AS model, o_orderstatus AS data FROM orders EXCEPT SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0")
-def not_yet_evaluated(spark, sf):
-    key = [F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("data")]
-    rows = t(spark, sf, "orders")
-    return rows.select(*key).distinct().join(rows.where("o_orderkey % 50 = 0").select(*key).distinct(), ["model", "data"], "left_anti")
-
-
-@query("r17_json_to_long", f"SELECT model, metric, round(sum(value), 4)::DOUBLE AS value FROM {_METRICS} GROUP BY 1, 2")
-def json_to_long(spark, sf):
-    """A JSON object of metrics for each model, as a long frame."""
-    by = _metrics(spark, sf).groupBy("model", "metric").agg(F.round(F.sum("value"), 4).alias("value"))
-    dumped = by.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).alias("dump"))  # a model has a few metrics
-    return dumped.select("model", F.explode(F.from_json("dump", "map<string,double>")).alias("metric", "value"))
-
-
-@query("r20_key_rebuilt", "SELECT p_partkey, array_to_string(string_split(p_type, ' ')[2:], '_') AS key, string_split(p_type, ' ')[1] AS model FROM part")
-def key_rebuilt(spark, sf):
-    parts = F.split("p_type", " ")
-    return t(spark, sf, "part").select("p_partkey", F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "_").alias("key"), F.get(parts, F.lit(0)).alias("model"))
-
-
-@query("r22_curve", f"SELECT metric, round(avg(value), 6)::DOUBLE AS value FROM {_METRICS} WHERE model = '1-URGENT' GROUP BY 1")
-def curve(spark, sf):
-    return _metrics(spark, sf).where("model = '1-URGENT'").groupBy("metric").agg(F.round(F.avg("value"), 6).alias("value")).orderBy("metric")
-
-
 @query("t02_longest_first", "SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents QUALIFY place <= 50")
 def longest_first(spark, sf):
     """The fifty longest: a report."""
@@ -254,24 +171,6 @@ def dropped_by_ending(spark, sf):
     return rows.select(*[c for c in rows.columns if not c.endswith(("name", "bal"))])
 
 
-@query("m02_empty_split", "SELECT o_orderkey, 'train' AS split FROM orders")
-def empty_split(spark, sf):
-    draw = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return t(spark, sf, "orders").select("o_orderkey", F.when(draw < 0.0, "val").when(draw < 0.0, "test").otherwise("train").alias("split"))
-
-
-@query("m11_shuffled", "SELECT o_orderkey, md5(o_orderkey::VARCHAR || '#42') AS place FROM orders")
-def shuffled(spark, sf):
-    """A whole shuffle by a hash of the key stands for a buffer's."""
-    return t(spark, sf, "orders").select("o_orderkey", F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit("#42"))).alias("place")).orderBy("place")
-
-
-@query("m12_rank_shards", "SELECT o_orderkey, (o_orderkey % 4)::BIGINT AS rank FROM orders WHERE o_orderkey > 100")
-def rank_shards(spark, sf, ranks: int = 4, done: int = 100):
-    """Rows of each rank behind the offset at which it stopped."""
-    return t(spark, sf, "orders").where(F.col("o_orderkey") > done).select("o_orderkey", F.pmod("o_orderkey", F.lit(ranks)).alias("rank"))
-
-
 @query("m13_source_weights", "SELECT source, count(*) AS n, round(41.0::DOUBLE / count(*), 9) AS weight FROM documents GROUP BY 1")
 def source_weights(spark, sf):
     return t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.lit(41.0) / F.count("*"), 9).alias("weight"))

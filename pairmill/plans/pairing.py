@@ -185,14 +185,6 @@ def blank_to_space(docs):
     return docs.select("doc_id", F.when(F.col("text").rlike(_FILLED), F.col("text")).otherwise(" ").alias("text"))
 
 
-@query("c22_metric_keys", "SELECT 'ds' || n_nationkey AS dataset, 'cosine' AS sim, 'mrr' AS metric, n_regionkey AS k FROM nation")
-def metric_keys(spark, sf):
-    key = F.concat(F.lit("ds"), F.col("n_nationkey").cast("string"), F.lit("__sub__file__evaluator_cosine_mrr@"), F.col("n_regionkey").cast("string"))
-    rows = t(spark, sf, "nation").select(key.alias("key"))
-    last = F.element_at(F.split("key", "__"), -1)
-    return rows.select(F.split("key", "__")[0].alias("dataset"), F.split(last, "_")[1].alias("sim"), F.regexp_extract(last, "_([a-z]+)@", 1).alias("metric"), F.regexp_extract(last, r"@(\d+)$", 1).cast("int").alias("k"))
-
-
 @query("c25_value_rename", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' END AS language FROM documents")
 def value_rename(spark, sf):
     names = F.create_map(F.lit("en"), F.lit("English"), F.lit("de"), F.lit("German"))

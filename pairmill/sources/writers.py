@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairmill.plans.places import folder
+
 
 def parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
@@ -71,7 +73,9 @@ def dense_ids(df: DataFrame, key: str, prefix: str, name: str = "_id") -> DataFr
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(key).persist()
+    path = folder(spark, "dense")  # written: ranges are sampled, and a task that runs again may not deal them anew
+    df.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema(df.withColumn("_range", F.lit(0)).schema).parquet(path)
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = totals.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1

@@ -68,14 +68,6 @@ def test_split_is_stable(spark):
     assert set(sampling.split_by_hash(df, "id", 0.0, 0.0).select("split").distinct().toPandas()["split"]) == {"train"}
 
 
-def test_no_repeats(spark):
-    rows = spark.createDataFrame([("s", i, f"t{i % 3}", f"p{i}") for i in range(20)], "source string, id long, anchor string, positive string")
-    got = sampling.no_repeats(rows, "source", ["anchor", "positive"], 4).toPandas()
-    assert len(got) == 20
-    for _, g in got.groupby("batch"):
-        assert len(g) <= 4 and g["anchor"].is_unique
-
-
 def test_text_rules(spark):
     assert one(spark, tx.blank_words(F.col("t")), t=F.lit("a  b")) == 3
     assert one(spark, tx.space_words(F.col("t")), t=F.lit(" a  b\n")) == 2
