@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pairmill.llm import common
-from pairmill.llm.chunks import BLOCK_BYTES, chunked, packed, spread, unpacked
-from pairmill.llm.wordtok import _byte_letters
+from pairmill.llm.chunks import ByteRuns, chunked, packed, spread, unpacked
+from pairmill.llm.wordtok import _byte_letters, _Table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Distinct chunks that a worker remembers before it starts anew.
-MEMORY = 250_000
+#: Distinct chunks that a worker remembers before it starts anew; new ones that it aligns at once.
+MEMORY, STEP = 200_000, 4_000
+#: Bytes of text of a block.
+BLOCK_BYTES = 4_000_000
 KINDS = ("ends", "overlaps", "groups")
 
 
@@ -74,62 +76,79 @@ class Pair:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letter = {c: b for b, c in _byte_letters().items()}
-        self.bytes_a = {i: bytes(letter[c] for c in piece) if all(c in letter for c in piece) else piece.encode() for piece, i in self.a.get_vocab().items()}
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        self.bytes_a = ByteRuns([bytes(letter[c] for c in p) if all(c in letter for c in p) else p.encode() for p in names])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes_b = ByteRuns([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.blank = self.b.piece_to_id("▁")
+        # an id's decimals with what follows it: another id of its side, or the end of the side
+        n = max(len(names), len(pieces))
+        self.n, self.written = n, ByteRuns([b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(n)])
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.counts, self.strings, self.pairs = [], [], []
-
-    def tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of chunks that start with a blank; B adds the first one itself."""
-        ids_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        return ids_a, [x if c != " " else [self.blank] for c, x in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1))]
-
-    def aligned(self, chunks: list[str]) -> list[tuple[tuple[int, int, int, int], bytes, np.ndarray]]:
-        """(numbers of A tokens, B tokens, groups and links; the groups as text; links as packed id pairs) of each chunk; -1 where the bytes differ."""
-        ids_a, ids_b = self.tokens(chunks)
-        own_a, own_b = self.bytes_a, self.bytes_b
-        sound = [b"".join([own_a[i] for i in x]) == (c := chunk.encode()) == b"".join([own_b[i] for i in y]) for chunk, x, y in zip(chunks, ids_a, ids_b)]
-        ids_a, ids_b = ([x for x, ok in zip(ids, sound) if ok] for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        # the chunks side by side: their ends are shared, so no group or link reaches over them
-        ends_a = np.cumsum([len(own_a[i]) for i in flat_a.tolist()], dtype=np.int64)
-        ends_b = np.cumsum([len(own_b[i]) for i in flat_b.tolist()], dtype=np.int64)
+        self.counts = np.zeros((0, 4), np.int64)
+        self.strings, self.pairs = _Table(np.uint8), _Table(np.int64)
+
+    def _learn(self, text: str, sizes: np.ndarray) -> bool:
+        """Align chunks of these numbers of bytes, side by side in text, and remember them; whether both sides' bytes are the text's.
+
+        The chunks' ends are shared, so no group or link reaches over them.
+        """
+        raw, none = np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64)
+        ids_a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        ids_b = np.array(self.b.encode(text[1:]) if text != " " else [self.blank], np.int64)  # B adds the first blank itself
+        for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)):
+            if not np.array_equal(table.joined(ids, none)[0], raw):
+                return False
+        ends_a, ends_b, ends = np.cumsum(self.bytes_a.sizes[ids_a]), np.cumsum(self.bytes_b.sizes[ids_b]), np.cumsum(sizes)
         a, b, closed = intervals(ends_a, ends_b)
         stop_a, stop_b = a[closed] + 1, b[closed] + 1
         link_a, link_b = linked(ends_a, ends_b, self.kind)
-        key = flat_a[link_a] << 32 | flat_b[link_b]
-        upto_a, upto_b = np.cumsum([len(x) for x in ids_a], dtype=np.int64), np.cumsum([len(x) for x in ids_b], dtype=np.int64)
-        to_group, to_link = np.searchsorted(stop_a, upto_a, side="right"), np.searchsorted(link_a, upto_a)
-        text_a, text_b = [str(i) for i in flat_a.tolist()], [str(i) for i in flat_b.tolist()]
-        stop_a, stop_b = stop_a.tolist(), stop_b.tolist()
-        groups = [f"{','.join(text_a[x:y])}|{','.join(text_b[v:w])};" for x, y, v, w in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
-        out, k, g, at = [], 0, 0, 0
-        for ok in sound:
-            if not ok:
-                out.append(((-1, 0, 0, 0), b"", key[:0]))
-                continue
-            to, end = int(to_group[k]), int(to_link[k])
-            out.append(((len(ids_a[k]), len(ids_b[k]), to - g, end - at), "".join(groups[g:to]).encode(), key[at:end]))
-            k, g, at = k + 1, to, end
-        return out
+        # where each chunk's tokens, groups and links stop
+        upto_a, upto_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        to_group, to_link = np.searchsorted(stop_a, upto_a) + 1, np.searchsorted(link_a, upto_a)
+        if not (np.array_equal(ends_a[upto_a - 1], ends) and np.array_equal(ends_b[upto_b - 1], ends)):
+            return False  # not cut where both sides start anew
+        # the groups written out: A's ids of a group, then B's
+        n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        upto = np.cumsum(n_a + n_b)
+        mark = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        mark[upto - n_b - 1], mark[upto - 1] = 1, 2
+        ids = np.empty(len(mark), np.int64)
+        of_b = np.repeat(np.tile([False, True], len(n_a)), np.stack([n_a, n_b], axis=1).ravel())
+        ids[~of_b], ids[of_b] = ids_a, ids_b
+        flat, stops = self.written.joined(mark * self.n + ids, np.concatenate([none, upto[to_group - 1]]))
+        self.strings.add(flat, stops[1:])
+        self.pairs.add(ids_a[link_a] << 32 | ids_b[link_b], to_link)
+        self.counts = np.concatenate([self.counts, np.stack([np.diff(x, prepend=0) for x in (upto_a, upto_b, to_group, to_link)], axis=1)])
+        return True
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The chunks' numbers among those known; new ones are aligned."""
+        """The chunks' numbers among those known; new ones are aligned, some thousands at once.
+
+        Chunks of a blank and a word go side by side, others, and those beside
+        one whose bytes differ, alone.
+        """
         if len(self.counts) > MEMORY:
             self._forget()
-        new = [c for c in chunks if c not in self.number]
-        for c, (counts, string, pairs) in zip(new, self.aligned(new)):
-            self.number[c] = len(self.counts)
-            self.counts.append(counts)
-            self.strings.append(string)
-            self.pairs.append(pairs)
+        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
+        plain = [c for c in new if len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
+        alone = [c for c in new if not (len(c) > 1 and not c[1].isspace() and not c[-1].isspace())]
+        for part in [*(plain[a : a + STEP] for a in range(0, len(plain), STEP)), *([c] for c in alone)]:
+            for some in [part] if self._learn("".join(part), np.array([len(c.encode()) for c in part])) else [[c] for c in part]:
+                if some is not part and not self._learn(some[0], np.array([len(some[0].encode())])):
+                    self._none()
+                self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
         return np.array([self.number[c] for c in chunks], np.int64)
 
+    def _none(self) -> None:
+        """Remember a chunk whose bytes differ."""
+        self.strings.add(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        self.pairs.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.counts = np.concatenate([self.counts, [[-1, 0, 0, 0]]])
+
 
 _pairs: dict[tuple[str, str, str], Pair] = {}
 
@@ -153,22 +172,22 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, kind: str, digest: bool)
             for b in common.steps(batch, limit=BLOCK_BYTES):
                 chunks, codes, offs = chunked(b["text"], True, lambda t: [f" {t}"] if t else [])
                 at = own.numbers(chunks.to_numpy(zero_copy_only=False).tolist())
-                counts = np.array([own.counts[i] for i in at], np.int64).reshape(-1, 4)
+                counts = own.counts[at]
                 n_docs = len(offs) - 1
                 doc = np.repeat(np.arange(n_docs), np.diff(offs))
                 sound = np.bincount(doc[counts[codes, 0] < 0], minlength=n_docs) == 0
                 sums = [np.bincount(doc, weights=counts[codes, k], minlength=n_docs).astype(np.int64) * sound for k in range(4)]
-                strings = [own.strings[i] for i in at]
-                groups, each = [], codes.tolist()
+                text, upto = own.strings.runs(at[codes])
+                groups = []
                 for d in range(n_docs):
-                    whole = b"".join([strings[c] for c in each[offs[d] : offs[d + 1]]])[:-1] if sound[d] else b""
+                    whole = text[upto[offs[d]] : upto[offs[d + 1]]][:-1].tobytes() if sound[d] else b""
                     groups.append((hashlib.sha256(whole).hexdigest() if whole else "") if digest else whole.decode())
                 # a document's distinct chunks with their numbers, and each chunk's pairs
                 some = sound[doc]
                 key, times = np.unique(doc[some] * len(at) + codes[some], return_counts=True)
-                links = [own.pairs[i] for i in at]
-                size = np.array([len(x) for x in links], np.int64)
-                pairs, which = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True)
+                links, upto = own.pairs.runs(at)
+                size = np.diff(upto)
+                pairs, which = np.unique(links, return_inverse=True)
                 of, upto = spread((np.cumsum(size) - size)[key % max(1, len(at))], size[key % max(1, len(at))])
                 total = np.bincount(which[of], weights=np.repeat(times, np.diff(upto)), minlength=len(pairs)).astype(np.int64)
                 used = total > 0  # pairs of unsound texts alone are none
