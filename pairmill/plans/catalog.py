@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairmill.plans import benchmarks, curate, dealt, evaluation, pairing, registry, roundtrips, search  # noqa: F401  registration
+from pairmill.plans import benchmarks, curate, dealt, evaluation, pairing, registry, roundtrips, search, streams  # noqa: F401  registration
 
 
 def queries() -> dict:

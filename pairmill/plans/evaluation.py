@@ -176,13 +176,6 @@ def source_weights(spark, sf):
     return t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.lit(41.0) / F.count("*"), 9).alias("weight"))
 
 
-@query("i02_split_of_a_stream", "SELECT event_id, CASE WHEN event_id % 20 = 0 THEN 'val' WHEN event_id % 20 = 1 THEN 'test' ELSE 'train' END AS split FROM events")
-def split_of_a_stream(spark, sf):
-    """A stream has no positions: its rows fall into splits by their ids, whenever they come."""
-    part = F.pmod("event_id", F.lit(20))
-    return t(spark, sf, "events").select("event_id", F.when(part == 0, "val").when(part == 1, "test").otherwise("train").alias("split"))
-
-
 @query("x03_many_columns", "SELECT doc_id, length(text)::BIGINT AS chars, len(string_split(text, ' '))::BIGINT AS words, upper(lang) AS tongue FROM documents WHERE text IS NOT NULL")
 def many_columns(spark, sf):
     """One function of a row gives a struct, its fields become columns."""
