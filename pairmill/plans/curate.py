@@ -280,10 +280,12 @@ def pair_triplet(spark, sf):
     return rows.select("doc_id", F.when(F.col("quality").isNull(), "pair").otherwise("triplet").alias("kind"))
 
 
-@query("u05_except", "SELECT p_brand AS brand FROM part WHERE p_size > 25 EXCEPT SELECT p_brand FROM part WHERE p_size < 3")
+@query("u05_except", "SELECT o_custkey AS customer FROM orders WHERE o_orderdate >= DATE '1998-01-01' EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1994-01-01'")
 def except_(spark, sf):
-    p = t(spark, sf, "part")
-    return p.where("p_size > 25").select(F.col("p_brand").alias("brand")).subtract(p.where("p_size < 3").select("p_brand"))
+    """Distinct values of the new collection that the old one lacks."""
+    rows = t(spark, sf, "orders")
+    new, old = (rows.where(w).select(F.col("o_custkey").alias("customer")) for w in ("o_orderdate >= DATE '1998-01-01'", "o_orderdate < DATE '1994-01-01'"))
+    return new.subtract(old)
 
 
 @query("u07_later_wins", "SELECT doc_id, coalesce(l.quality, -1) AS quality FROM documents LEFT JOIN labels l USING (doc_id)")

@@ -31,11 +31,6 @@ def texts_with_content(spark, sf):
     return t(spark, sf, "documents").where(F.char_length("text") > 0).select(F.col("doc_id").alias("_id"), "text")
 
 
-@query("f16_both_strings", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
-def both_strings(spark, sf):
-    return t(spark, sf, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id")
-
-
 @query("j02_left_with_suffix", "SELECT c.c_custkey AS key, c.c_name AS name, n.n_name AS name_right FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def left_with_suffix(spark, sf):
     left = t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("at"))
@@ -44,11 +39,6 @@ def left_with_suffix(spark, sf):
     return left.join(right.withColumnsRenamed({c: f"{c}_right" for c in both}), "at", "left").drop("at")
 
 
-@query("j05_rows_not_taken", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def rows_not_taken(spark, sf):
-    return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 @query("j07_results_to_rows", "SELECT o.o_orderkey, o.o_orderstatus, r.n_lines FROM orders o JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) r ON r.l_orderkey = o.o_orderkey")
 def results_to_rows(spark, sf):
     results = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
@@ -64,11 +54,6 @@ def in_asked_order(spark, sf):
     return rows.select("place", "n_nationkey", there.alias("n_name"))
 
 
-@query("j14_side_by_side", "SELECT d.doc_id, d.lang, l.quality FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id IS NOT NULL")
-def side_by_side(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "full").where("lang IS NOT NULL")
-
-
 @query("a12_distinct_values", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def distinct_values(spark, sf):
     return t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
@@ -141,17 +126,6 @@ def dropped(spark, sf):
     return t(spark, sf, "customer").drop("c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-@query("p08_nested_or_empty", "SELECT event_id, coalesce(json_extract_string(props, '$.no.such'), '') AS found FROM events")
-def nested_or_empty(spark, sf):
-    return t(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.no.such"), F.lit("")).alias("found"))
-
-
-@query("p09_joined_abstract", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role) AS abstract FROM conversations WHERE text <> '' GROUP BY 1")
-def joined_abstract(spark, sf):
-    rows = t(spark, sf, "conversations").where("text <> ''").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("parts"))  # a conversation's turns
-    return rows.select("conv_id", F.concat_ws(" ", "parts.text").alias("abstract"))
-
-
 @query("p14_arrays_as_json", "SELECT vec_id, len(embedding)::BIGINT AS n, label FROM embeddings")
 def arrays_as_json(spark, sf):
     """Vectors through JSON and back."""
@@ -159,12 +133,6 @@ def arrays_as_json(spark, sf):
     return rows.select("vec_id", F.size(F.from_json("dump", "array<double>")).cast("long").alias("n"), "label")
 
 
-@query("p18_all_strings", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
-def all_strings(spark, sf):
-    rows = t(spark, sf, "nation")
-    return rows.select(*[F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_name", "n_regionkey")])
-
-
 @query("p23_dropped_by_ending", "SELECT s_suppkey, s_nationkey FROM supplier")
 def dropped_by_ending(spark, sf):
     rows = t(spark, sf, "supplier")
@@ -181,12 +149,3 @@ def many_columns(spark, sf):
     """One function of a row gives a struct, its fields become columns."""
     of = F.struct(F.char_length("text").cast("long").alias("chars"), F.size(F.split("text", " ")).cast("long").alias("words"), F.upper("lang").alias("tongue"))
     return t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", of.alias("r")).select("doc_id", "r.*")
-
-
-#: Which splits a data set has.
-SPLITS = {"orders": ("train", "test"), "part": ("train",), "supplier": ("train", "dev", "test")}
-
-
-@query("s09_splits", "SELECT * FROM (VALUES ('orders', 'test'), ('orders', 'train'), ('part', 'train'), ('supplier', 'dev'), ('supplier', 'test'), ('supplier', 'train')) AS s(name, split)")
-def splits(spark, sf):
-    return spark.createDataFrame([(n, s) for n, all_ in SPLITS.items() for s in all_], "name string, split string")

@@ -152,11 +152,15 @@ def json_get(spark, sf):
     return t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"))
 
 
-@query("c13_rate_schedule", "SELECT s::BIGINT AS step, round(greatest(0, CASE WHEN s < 100 THEN s / 100.0 ELSE (1000 - s) / 900.0 + 0.05 * cos(2 * pi() * 4 * (s - 100) / 900.0) END), 6)::DOUBLE AS rate FROM range(0, 1001) r(s)")
-def schedule(spark, sf):
-    s = F.col("step")
-    rate = F.when(s < 100, s / 100.0).otherwise((1000 - s) / 900.0 + 0.05 * F.cos(2 * F.pi() * 4 * (s - 100) / 900.0))
-    return spark.range(0, 1001).select(F.col("id").alias("step")).select("step", F.round(F.greatest(F.lit(0.0), rate), 6).alias("rate"))
+_RATE = "CASE WHEN step < warm THEN step / warm ELSE (steps - step) / (steps - warm) + 0.05 * cos(2 * pi() * 4 * (step - warm) / (steps - warm)) END"
+
+
+@query("c13_rate_schedule", f"WITH n AS (SELECT lang, (ceil(count(*) / 32.0) * 3)::DOUBLE AS steps FROM documents GROUP BY 1), s AS (SELECT lang, steps, floor(steps / 10) + 1 AS warm, unnest(range(0, steps::BIGINT + 1)) AS step FROM n) SELECT lang, step, round(greatest(0, {_RATE}), 6)::DOUBLE AS rate FROM s")
+def schedule(spark, sf, batch: int = 32, epochs: int = 3):
+    """Rates of all steps that training on each language's documents takes: a warm-up of a tenth, then down with waves."""
+    n = t(spark, sf, "documents").groupBy("lang").agg((F.ceil(F.count("*") / batch) * epochs).alias("steps"))
+    rows = n.select("lang", "steps", (F.floor(F.col("steps") / 10) + 1).alias("warm"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))).alias("step"))
+    return rows.select("lang", "step", F.round(F.greatest(F.lit(0.0), F.expr(_RATE)), 6).alias("rate"))
 
 
 @query("c15_half_even", "SELECT n_nationkey, round_even(n_nationkey / 2.0, 0)::BIGINT AS half FROM nation")
