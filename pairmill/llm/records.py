@@ -4,6 +4,8 @@ A record is: length of the payload (8 bytes, little-endian), masked CRC-32C of
 those 8 bytes, the payload, masked CRC-32C of the payload, and a line feed
 that Spark's text writer adds. A payload is the id of the document (8 bytes),
 whether there is one (1), bytes of each token id (1: 2 or 4), the token ids.
+A file ends behind the record with which it passes FILE_BYTES, so a reader that
+takes a whole file holds that many bytes and one record, however long texts are.
 Files hold ascending ids, and files in order of their part numbers go on. The
 index, parquet, has for each record its file, offset, length, id, number of
 tokens and checksum of the tokens, so that a shuffled read can fetch it alone.
@@ -27,8 +29,8 @@ from pairmill.llm import common
 from pairmill.llm.wordtok import encoder
 
 STEP_CHARS = 8_000_000
-#: Records of one file at most, so that a file fits into a task's memory.
-FILE_RECORDS = 20_000
+#: Bytes of a file, but for its last record: a file, or one record, fits into a task's memory.
+FILE_BYTES = 32 << 20
 #: Bytes that are checksummed at once.
 SUM_BYTES = 1 << 18
 _HEAD = "<qBB"
@@ -131,11 +133,15 @@ def tokens_of(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc if known else None), np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(_HEAD))
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Encode every text, append end_id, write record files under path in ascending order of ids."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> None:
+    """Encode every text, append end_id, write record files under path in ascending order of ids.
+
+    A row is a whole file: its records with the line feeds between them.
+    """
 
     def run(batches):
         encode = encoder(tokenizer)
+        held, size = [], 0
         for batch in batches:
             for b in common.steps(batch, limit=STEP_CHARS):
                 ids, offs = encode(b["text"].to_pylist())
@@ -145,9 +151,16 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> No
                 raw, end = ids.astype(f"<u{wide}").tobytes(), int(end_id).to_bytes(wide, "little")
                 cut = (offs * wide).tolist()
                 out = framed([struct.pack(_HEAD, d or 0, d is not None, wide) + raw[cut[i] : cut[i + 1]] + end for i, d in enumerate(b["doc_id"].to_pylist())])
-                yield pa.record_batch({"record": pa.array(out, pa.binary())})
+                for record in out:
+                    held.append(record)
+                    size += len(record) + 1
+                    if size >= file_bytes:
+                        yield pa.record_batch({"file": pa.array([b"\n".join(held)], pa.binary())})
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch({"file": pa.array([b"\n".join(held)], pa.binary())})
 
-    common.in_order(docs).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    common.in_order(docs).mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -190,17 +203,17 @@ def with_starts(index: DataFrame) -> DataFrame:
     return index.join(first, "file").withColumn("start", F.col("first") + F.col("before")).drop("first")
 
 
-def write_with_index(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
+def write_with_index(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write record files and their offset index; return the index as read back."""
     spark = docs.sparkSession
-    write_records(docs, f"{path}/records", tokenizer, end_id)
+    write_records(docs, f"{path}/records", tokenizer, end_id, file_bytes)
     index = scan_records(spark, f"{path}/records")
     index.write.parquet(f"{path}/index")
     return with_starts(spark.read.schema(index.schema).parquet(f"{path}/index"))
 
 
 def fetch(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """doc_id and tokens of the records in index (any rows of it): each file is opened once."""
+    """doc_id and tokens of the records in index (any rows of it): each file is read once, which is at most FILE_BYTES and a record."""
 
     def run(batches):
         for batch in batches:
@@ -212,7 +225,7 @@ def fetch(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
                     found += [tokens_of(p) for p in payloads]
                 yield pa.record_batch({"doc_id": pa.array([d for d, _ in found], pa.int64()), "tokens": pa.array([t.astype(np.int64) for _, t in found], pa.list_(pa.int64()))})
 
-    wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # FILE_RECORDS bounds it
+    wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # the records of one file
     wanted = wanted.select("file", F.transform("at", lambda x: F.array(x["offset"], x["length"])).alias("at"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records")
     return files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(wanted, "file").select("content", "at").mapInArrow(run, "doc_id long, tokens array<long>")
