@@ -1,7 +1,7 @@
 """License scans by a positional index of rare words (operator 8); DataFrame functions only.
 
-Templates are passages of licences with a label and a mandatory key phrase
-each. A template is posted under those words of its key phrase with the highest
+Templates are whole licences, and passages of them, with a label and a
+mandatory key phrase each. A template is posted under those words of its key phrase with the highest
 inverse document frequency in the scanned corpus, with their positions. A file
 that holds no template's rarest word is done; of the others the words are
 looked up in that index, a template's postings are intersected by the start
@@ -18,12 +18,14 @@ labels, score 0. Repeated rows and ids give a row each.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmill.llm import common
+from pairmill.llm.licence_texts import TEXTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,6 +75,10 @@ MORE = (
     _template("cc0", "no copyright reserved"),
     _template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
+#: Whole licences and notices, taken apart as scanned texts are.
+_parts = lambda text: " ".join(w for w in re.split(_BREAK, text.lower()) if w)
+WHOLE = tuple(_template(label, _parts(text), _parts(phrase)) for label, phrase, text in TEXTS)
+TEMPLATES = BASE + MORE + WHOLE
 #: Words of a template that the index posts, at most; percentage of its words that have to stand in their places.
 POSTED, ENOUGH = 3, 80
 
@@ -102,7 +108,7 @@ def posted(templates: tuple[Template, ...], df: dict[str, int]) -> dict[Template
     return {t: sorted(range(*t.key), key=lambda i: (df.get(t.words[i], 0), -len(t.words[i]), i))[:POSTED] for t in templates}
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_words and the places (label, start, size, matched, base) of every template in each text."""
     index = posted(templates, document_frequencies(docs, templates))
     rare = sorted({t.words[i] for t, at in index.items() for i in at})
@@ -157,7 +163,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """DuckDB SQL for the base columns and the method's."""
-    lists = ", ".join(f"({n}, '{t.label}', {list(t.words)!r}, {t.key[0]}, {t.key[1]}, {str(t.base).lower()})" for n, t in enumerate(BASE + MORE))
+    lists = ", ".join(f"({n}, '{t.label}', {list(t.words)!r}, {t.key[0]}, {t.key[1]}, {str(t.base).lower()})" for n, t in enumerate(TEMPLATES))
     return f"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
