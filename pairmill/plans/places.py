@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; an own one on this machine only in a local session without spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
+
+    Only in a local session, where all tasks run on this machine, an own one
+    is made if none is set, and removed when the process ends; a cluster has
+    to name one, and to clean it as it cleans checkpoints.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="pairmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        found = tempfile.mkdtemp(prefix="pairmill-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
