@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmill.plans.places import folder
+
 #: Characters of text that one numpy step works on at once.
 STEP_CHARS = 2_000_000
 
@@ -39,23 +39,9 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Only in a local session, where all tasks run on this machine, an own one
-    is made if none is set; a cluster has to name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="pairmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
