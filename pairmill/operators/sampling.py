@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmill.functions.text import bucket
-from pairmill.operators.positions import hashed, ranked, same
+from pairmill.operators.positions import hashed, ranked, running, same
 
 
 def split_by_hash(df: DataFrame, key: str, val: float, test: float, seed: int = 42) -> DataFrame:
@@ -62,10 +62,9 @@ def weighted_batches(rows: DataFrame, source: str, key: str, size: int, weights:
 
 
 def interleaved(rows: DataFrame, source: str, key: str) -> DataFrame:
-    """Adds round: sources take turns until the longest is through, shorter ones over again."""
-    w = Window.partitionBy(source).orderBy(key)
-    placed = rows.withColumn("_rn", F.row_number().over(w) - 1)
-    n = placed.groupBy(source).agg((F.max("_rn") + 1).alias("_n"))
+    """Adds round: sources take turns until the longest is through, shorter ones over again. key: a whole number that tells a source's rows apart."""
+    placed = running(rows.withColumn("_one", F.lit(1).cast("long")), [source], key, "_one", "_rn").drop("_one")
+    n = placed.groupBy(source).agg(F.count("*").alias("_n"))
     longest = n.agg(F.max("_n").alias("_most"))
     times = F.explode(F.sequence(F.col("_rn"), F.col("_most") - 1, F.col("_n")))
-    return placed.join(n, source).crossJoin(F.broadcast(longest)).withColumn("round", times).drop("_rn", "_n", "_most")
+    return same(placed, n, [source]).crossJoin(F.broadcast(longest)).withColumn("round", times).drop("_rn", "_n", "_most")  # one row
