@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairmill.operators.positions import hashed, ranked, running, same
+from pairmill.operators.positions import ranked, running, same
 from pairmill.plans.places import folder
 
 #: Tries of a row among the batches of a level before it goes to new ones.
