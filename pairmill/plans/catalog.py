@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairmill.plans import benchmarks, curate, dealt, evaluation, functions, loaders, pairing, registry, roundtrips, search, streams, tolerant  # noqa: F401  registration
+from pairmill.plans import benchmarks, curate, dealt, evalset, evaluation, functions, loaders, pairing, registry, roundtrips, search, streams, tolerant  # noqa: F401  registration
 
 
 def queries() -> dict:
