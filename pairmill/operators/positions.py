@@ -99,22 +99,23 @@ def buffer_shuffled(df: DataFrame, order: str, size: int = BUFFER, seed: int = 4
     A shard is a share of the rows by a hash of ``order``, which tells rows
     apart, read in that order (came: 0, 1, ...). A buffer of ``size`` rows lives
     on over the shard's batches: each row that comes takes the place of a drawn
-    one, which leaves (place: 0, 1, ...); the rest leave shuffled at the end.
-    Draws come from the seed and the shard, so reruns agree; only a buffer and
-    a batch are in memory.
+    one, which leaves (place: 0, 1, ...); the rest leave shuffled at the end, in
+    order of their hashes. Shards and draws come from the hash as well, so
+    reruns and other engines agree; only a buffer and a batch are in memory.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     class Buffer:
         def __init__(self, shard: int):
-            self.shard, self.rng, self.held, self.came, self.place = shard, np.random.default_rng([seed, shard]), None, 0, 0
+            self.shard, self.held, self.came, self.place = shard, None, 0, 0
 
         def out(self, rows: pa.Table):
             n = rows.num_rows
             at = pa.array(np.arange(self.place, self.place + n), pa.int64())
             self.place += n
-            return rows.append_column("came", rows["came__"]).append_column("place", at).drop_columns(["came__"]).combine_chunks().to_batches()
+            return rows.append_column("came", rows["came__"]).append_column("place", at).drop_columns(["came__", "hash__", "draw__"]).combine_chunks().to_batches()
 
         def add(self, batch: pa.RecordBatch):
             new = pa.Table.from_batches([batch]).append_column("came__", pa.array(np.arange(self.came, self.came + batch.num_rows), pa.int64()))
@@ -122,7 +123,7 @@ def buffer_shuffled(df: DataFrame, order: str, size: int = BUFFER, seed: int = 4
             rows = new if self.held is None else pa.concat_tables([self.held, new])
             have = rows.num_rows - batch.num_rows
             slots, leave = list(range(have)), []
-            draws = self.rng.integers(0, size, batch.num_rows).tolist()
+            draws = batch["draw__"].to_pylist()
             for i in range(have, rows.num_rows):
                 if len(slots) < size:
                     slots.append(i)
@@ -134,7 +135,7 @@ def buffer_shuffled(df: DataFrame, order: str, size: int = BUFFER, seed: int = 4
             return self.out(rows.take(pa.array(leave, pa.int64()))) if leave else []
 
         def rest(self):
-            return self.out(self.held.take(pa.array(self.rng.permutation(self.held.num_rows))))
+            return self.out(self.held.take(pc.sort_indices(self.held, sort_keys=[("hash__", "ascending"), ("came__", "ascending")])))
 
     def run(batches):
         own = None
@@ -153,6 +154,8 @@ def buffer_shuffled(df: DataFrame, order: str, size: int = BUFFER, seed: int = 4
             yield from own.rest()
 
     n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(n)).cast("int"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", came long, place long"
+    part = lambda at: F.coalesce(F.conv(F.substring("hash__", at, 8), 16, 10).cast("long"), F.lit(0))  # noqa: E731  a missing key has no hash
+    rows = df.withColumn("hash__", hashed(F.col(order), seed)).withColumn("shard", F.pmod(part(1), F.lit(n)).cast("int"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("hash__").schema) + ", came long, place long"
+    rows = rows.withColumn("draw__", F.pmod(part(9), F.lit(size)).cast("int"))
     return rows.repartition(n, "shard").sortWithinPartitions("shard", order).mapInArrow(run, schema)
