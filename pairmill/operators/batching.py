@@ -1,14 +1,15 @@
-"""Batches in which no text stands twice, made by joins; and orders in which sources' batches take turns."""
+"""Batches in which no text stands twice, made by dealing rows out; and orders in which sources' batches take turns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmill.operators.positions import ranked, running, same
+from pairmill.operators.positions import ranked, same
+from pairmill.operators.retrieval import sent
 from pairmill.plans.places import folder
 
-#: Tries of a row among the batches of a level before it goes to new ones.
+#: Rounds of a level, in which a row tries its batches, before it goes to new ones.
 ROUNDS = 4
 
 
@@ -18,55 +19,77 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _level(items: DataFrame, by: list[str], size: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(by, row, batch of the rows that found a batch; by and the number of batches) among fresh batches.
+def _settled(claims: DataFrame, by: list[str], size: int) -> DataFrame:
+    """claims (by, batch, row, c, own, new) with won: a batch's rows are taken one after another while there is room and no text of theirs stands in it.
 
-    items: by, row, own (distinct texts). Rows whose texts stand nowhere else
-    fill up the batches at last, so only the others may be left over.
+    Rows that stand there already (not new) come first, then those of frequent
+    texts. A batch is a run of sorted rows; a task holds the texts of one.
     """
-    each = items.select(*by, "row", F.explode("own").alias("text"))
-    often = each.groupBy(*by, "text").agg(F.count("*").alias("c")).where("c > 1")
-    top = same(each, often, [*by, "text"]).groupBy(*by, "row").agg(F.max(F.struct("c", "text")).alias("top"))
-    top = _kept(top.select(*by, "row", F.col("top.c").alias("c"), F.col("top.text").alias("top")), "batches-often")
-    n = items.groupBy(*by).agg(F.count("*").alias("rows"))
-    most = top.groupBy(*by).agg(F.max("c").alias("c"))
-    batches = _kept(same(n, most, by, "left").select(*by, F.greatest(F.ceil(F.col("rows") / size), F.coalesce("c", F.lit(1))).cast("long").alias("batches")), "batches-n") if by else _kept(n.crossJoin(F.broadcast(most)).select(F.greatest(F.ceil(F.col("rows") / size), F.coalesce("c", F.lit(1))).cast("long").alias("batches")), "batches-n")  # one row each
-    # copies of a row's most frequent text get batches side by side, so they never meet
-    first = same(ranked(top, [*by, "top"], "row", seed), batches, by)
-    first = first.select(*by, "row", F.pmod(F.xxhash64("top", F.lit(seed)) + F.col("rank"), F.col("batches")).alias("batch"))
-    texts = same(each, top.select(*by, "row"), [*by, "row"])
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        at, have, taken = None, 0, set()
+        for batch in batches:
+            own, n = batch["own"], batch.num_rows
+            offs, texts, new = own.offsets.to_pylist(), own.values.to_pylist(), batch["new"].to_pylist()
+            won = np.zeros(n, bool)
+            for i, key in enumerate(batch["key__"].to_pylist()):
+                if key != at:
+                    at, have, taken = key, 0, set()
+                mine = texts[offs[i] : offs[i + 1]]
+                if have < size and taken.isdisjoint(mine):
+                    taken.update(mine)
+                    have += 1
+                    won[i] = True
+            out = batch.append_column("won", pa.array(won)).filter(pa.array(new, pa.bool_()))
+            yield out.drop_columns(["key__", "new"])
+
+    n = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # batches of one hash would share their room: no row is lost, it only tries again
+    rows = claims.withColumn("key__", F.xxhash64(*by, "batch"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in claims.drop("new").schema) + ", won boolean"
+    return rows.repartition(n, "key__").sortWithinPartitions("key__", "new", F.desc("c"), "row").mapInArrow(run, schema)
+
+
+def _level(items: DataFrame, by: list[str], size: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fresh batches: (by, row, batch of the rows that found one; by and the number of batches; items of the rows left over).
+
+    items: by, row, own (hashes of distinct texts). Rows in order of their most
+    frequent text are dealt to the batches in turns, so copies of it never meet
+    and no batch gets more than ``size``; only other texts may clash.
+    """
+    spark = items.sparkSession
+    each = items.select("row", F.explode("own").alias("text"))
+    often = each.groupBy("text").agg(F.count("*").alias("c")).where("c > 1")
+    top = each.join(often, "text").groupBy("row").agg(F.max(F.struct("c", "text")).alias("top"))
+    rows = items.join(top, "row", "left").select(*by, "row", "own", F.coalesce("top.c", F.lit(0)).alias("c"), F.col("top.text").alias("top"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*by, "top", "row"]
+    # written: ranges are sampled, and a task that runs again may not deal them anew
+    rows = _kept(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("top").withColumn("at", F.monotonically_increasing_id()), "batches-dealt")
+    part = F.shiftright("at", 33)
+    sums = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
+    most = F.greatest(F.ceil(F.count("*") / size), F.max("c"), F.lit(1)).cast("long")
+    batches = _kept(rows.groupBy(*by).agg(most.alias("batches")), "batches-n")
+    few = sent(batches) if by else batches
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    dealt = same(rows.withColumn("part", part).join(F.broadcast(before), "part"), few, by)
+    claims = dealt.select(*by, F.pmod(place, F.col("batches")).alias("batch"), "row", "c", "own", F.lit(True).alias("new"))
     placed: DataFrame | None = None
-    left = first
     for k in range(ROUNDS):
-        claims = same(texts, left, [*by, "row"]).select(*by, "batch", "text", "row", F.lit(1).alias("new"))
-        there = claims
         if placed is not None:
-            there = claims.unionByName(same(texts, placed, [*by, "row"]).select(*by, "batch", "text", "row", F.lit(0).alias("new")))
-        order = F.struct("new", F.xxhash64("row", F.lit(seed + k)).alias("h"), "row")
-        who = F.min(order).over(Window.partitionBy(*by, "batch", "text"))
-        won = there.withColumn("first", who["row"] == F.col("row")).where("new = 1").groupBy(*by, "batch", "row").agg(F.min("first").alias("won")).where("won").drop("won")
-        if placed is None:
-            loads = won.withColumn("load", F.lit(0).cast("long"))
-        else:
-            load = placed.groupBy(*by, "batch").agg(F.count("*").alias("load"))
-            loads = same(won, load, [*by, "batch"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
-        place = F.row_number().over(Window.partitionBy(*by, "batch").orderBy(F.xxhash64("row", F.lit(seed)), "row"))
-        took = loads.withColumn("place", place).where(F.col("place") + F.col("load") <= size).select(*by, "row", "batch")
-        placed = _kept(took if placed is None else placed.unionByName(took), "batches-placed")
-        rest = top.select(*by, "row").join(placed.select("row"), "row", "left_anti")
-        if k == ROUNDS - 1 or rest.isEmpty():
+            asked = sent(claims.select(*by, "batch").distinct())
+            claims = claims.unionByName(same(placed, asked, [*by, "batch"]).withColumn("new", F.lit(False)))
+        got = _kept(_settled(claims, by, size), "batches-settled")
+        won, left = got.where("won").drop("won"), got.where("NOT won").drop("won", "batch")
+        placed = won if placed is None else placed.unionByName(won)
+        if left.isEmpty():
             break
-        left = same(rest, batches, by).select(*by, "row", F.pmod(F.xxhash64("row", F.lit(seed + 7 * k + 1)), F.col("batches")).alias("batch"))
-    # rows of texts that stand nowhere else take the free places, batch by batch
-    lone = items.select(*by, "row").join(top.select("row"), "row", "left_anti")
-    every = batches.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("batches") - 1) / 10_000))).alias("part"), "batches")
-    every = every.select(*by, F.explode(F.sequence(F.col("part") * 10_000, F.least(F.col("batches"), F.col("part") * 10_000 + 10_000) - 1)).alias("batch"))
-    load = placed.groupBy(*by, "batch").agg(F.count("*").alias("load"))
-    free = same(every, load, [*by, "batch"], "left").select(*by, "batch", (size - F.coalesce("load", F.lit(0))).cast("long").alias("free")).where("free > 0")
-    free = running(free, by, "batch", "free", "before")
-    slots = free.select(*by, "batch", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("free") - 1)).alias("rank"))
-    filled = same(ranked(lone, by, "row", seed).drop("n"), slots, [*by, "rank"]).select(*by, "row", "batch")
-    return placed.unionByName(filled), batches
+        tried = F.pmod(F.xxhash64("row", F.lit(seed + 7 * k + 1)), F.col("batches"))
+        claims = same(left, few, by).select(*by, tried.alias("batch"), "row", "c", "own", F.lit(True).alias("new"))
+    return placed.select(*by, "row", "batch"), batches, left.select(*by, "row", "own")
 
 
 def no_repeats(rows: DataFrame, texts: list[str], size: int, source: str | None = None, seed: int = 42) -> DataFrame:
@@ -76,27 +99,25 @@ def no_repeats(rows: DataFrame, texts: list[str], size: int, source: str | None
     stand in several columns of one row. Batches are as many as a source's rows
     or its most frequent text ask for, and some more where rows clash in all
     batches that they tried. No task holds a source: rows of one text are
-    dealt over batches by exact ranks, clashes are settled within a batch.
+    dealt over batches by exact places, clashes are settled within a batch.
     """
-    spark: SparkSession = rows.sparkSession
     by = ["source__"] if source else []
     named = rows.withColumn("row__", F.monotonically_increasing_id())
     named = _kept(named.withColumn("source__", F.col(source)) if source else named, "batches-rows")
-    own = F.array_distinct(F.filter(F.array(*[F.col(c).cast("string") for c in texts]), lambda x: x.isNotNull()))
+    own = F.filter(F.array(*[F.col(c).cast("string") for c in texts]), lambda x: x.isNotNull())
+    own = F.array_distinct(F.transform(own, lambda x: F.xxhash64(*by, x)))  # texts of one hash stay apart like equal ones
     items = named.select(*by, F.col("row__").alias("row"), own.alias("own"))
     out: DataFrame | None = None
     level, offset = 0, None
     while not items.isEmpty():
-        got, batches = _level(items, by, size, seed + 1_000 * level)
-        got = _kept(got, "batches-level")
+        got, batches, items = _level(items, by, size, seed + 1_000 * level)
         if offset is not None:
-            got_at = same(got, offset, by).withColumn("batch", F.col("batch") + F.col("batches")).drop("batches")
+            got_at = same(got, sent(offset) if by else offset, by).withColumn("batch", F.col("batch") + F.col("batches")).drop("batches")
             sums = offset.unionByName(batches).groupBy(*by).agg(F.sum("batches").alias("batches"))
         else:
             got_at, sums = got, batches
         out = got_at if out is None else out.unionByName(got_at)
         offset = _kept(sums, "batches-offset")
-        items = _kept(items.join(got.select("row"), "row", "left_anti"), "batches-left")
         level += 1
     if out is None:
         return rows.withColumn("batch", F.lit(None).cast("long"))
