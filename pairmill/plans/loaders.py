@@ -21,10 +21,10 @@ from pairmill.sources.loading import Loader, available, configs, load, load_all
 MANY = 200
 
 
-def _files(rows, path):
-    """Rows (name, content) as files of a folder."""
+def _files(rows, path, many=0):
+    """Rows (name, content) as files of a folder; many: in folders of so many, for very many small files."""
     datasource.register(rows.sparkSession)
-    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("made_files").mode("append").option("path", path).save()
+    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("made_files").mode("append").option("path", path).option("filesPerFolder", many).save()
 
 
 def _made(rows, key, make, suffix):
@@ -134,8 +134,9 @@ def vocabulary(spark, sf):
     """A JSON file for each part with its terms."""
     path = folder(spark, "s19")
     one = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("term "), "p_name").alias("Term"), F.col("p_type").alias("Definition"))).alias("Terms")))
-    _files(t(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("name"), one.alias("content")), path)
-    return readers.vocabulary(spark, path).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    rows = t(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("name"), one.alias("content"))
+    _files(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name"), path, datasource.FILES)
+    return readers.vocabulary_of(spark.read.format("made_files").load(path)).withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
 @query("s22_nested_answers", "SELECT DISTINCT 'why ' || p_name AS question, p_type AS evidence FROM part")

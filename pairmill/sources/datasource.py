@@ -244,27 +244,77 @@ class ArrowFolder(DataSource):
 # ---- files made by tasks
 
 
+#: Files of a folder, or loose files, that a task reads.
+FILES = 1_000
+
+
 class FilesWriter(_CommittedWriter):
-    """A file for each row (name, content)."""
+    """A file for each row (name, content); with filesPerFolder in folders of so many, each moved as a whole, so commit doesn't grow with the files."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        super().__init__(options, overwrite)
+        self.many = int(options.get("filesperfolder", options.get("filesPerFolder", "0")))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        done = []
+        done, folder, n = [], "", 0
         for batch in iterator:
             for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist()):
-                store, path = self.place(name)
+                if not self.many:
+                    store, path = self.place(name)
+                    done.append(("", name, 1))
+                elif n % self.many == 0:
+                    folder = uuid.uuid4().hex
+                    store, path = self.place(f"{folder}/{name}")
+                    done.append(("", folder, self.many))
+                else:
+                    path = f"{path.rsplit('/', 1)[0]}/{name}"
                 with store.open_output_stream(path, compression=None) as f:
                     f.write(content or b"")
-                done.append(("", name, 1))
+                n += 1
         return Written(done)
 
 
+@dataclass
+class Folder(InputPartition):
+    place: str
+    names: list = field(default_factory=list)
+
+
+class FilesReader(DataSourceReader):
+    """file and content: a partition for each folder, whose files the task itself lists, and for each FILES loose files."""
+
+    def __init__(self, options: dict[str, str]):
+        self.at = options["path"].rstrip("/")
+
+    def partitions(self):
+        found = [f for f in _listed(self.at) if not f.base_name.startswith(("_", "."))]
+        loose = [f.base_name for f in found if f.is_file]
+        out = [Folder(f"{self.at}/{f.base_name}") for f in found if not f.is_file]
+        return out + [Folder(self.at, loose[k : k + FILES]) for k in range(0, len(loose), FILES)] or [Folder("")]
+
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        if not partition.place:
+            return
+        store, path = opened(partition.place)
+        names = partition.names or [f.base_name for f in _listed(partition.place) if f.is_file]
+        for name in names:
+            with store.open_input_stream(f"{path}/{name}", compression=None) as f:
+                yield (f"{partition.place}/{name}", f.read())
+
+
 class MadeFiles(DataSource):
-    """Rows (name string, content binary) as files of a folder, all of them or none."""
+    """Rows (name string, content binary) as files of a folder, all of them or none; read as rows (file string, content binary)."""
 
     @classmethod
     def name(cls) -> str:
         return "made_files"
 
+    def schema(self) -> str:
+        return "file string, content binary"
+
+    def reader(self, schema: StructType) -> FilesReader:
+        return FilesReader(dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool) -> FilesWriter:
         return FilesWriter(dict(self.options), overwrite)
 

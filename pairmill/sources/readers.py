@@ -211,6 +211,12 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.input_file_name().alias("file"), F.explode("Terms").alias("t")).select("file", F.col("t.Term").alias("term"), F.col("t.Definition").alias("definition"))
 
 
+def vocabulary_of(files: DataFrame) -> DataFrame:
+    """The same of many small files as rows (file, content): an object each, or a list of them."""
+    each = F.explode(F.from_json(F.col("content").cast("string"), "array<struct<Terms: array<struct<Term: string, Definition: string>>>>"))
+    return files.select("file", each.alias("x")).select("file", F.explode("x.Terms").alias("t")).select("file", F.col("t.Term").alias("term"), F.col("t.Definition").alias("definition"))
+
+
 def concepts(spark: SparkSession, path: str) -> DataFrame:
     """label and first definition of pages of concepts."""
     df = spark.read.schema("concepts array<struct<prefLabel: string, definitions: array<struct<text: string>>>>").json(path, multiLine=True)
