@@ -43,29 +43,41 @@ def _scores(q: np.ndarray, c: np.ndarray, score: str) -> np.ndarray:
     return -(out if score == "manhattan" else np.sqrt(out))
 
 
-class _Best:
-    """The k best corpus rows of each query of a block, ties to the larger id."""
+class Kept:
+    """The k best corpus rows of each of n queries, ties to the larger id."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, score: str, apart: bool):
-        self.ids, self.q, self.k, self.score, self.apart = ids, _prepared(matrix, score), k, score, apart
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
         self.row, self.at, self.to = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.least = np.full(len(ids), -np.inf)  # below this no row can be among a query's best
+        self.least = np.full(n, -np.inf)  # below this no row can be among a query's best
 
-    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        got = np.round(_scores(self.q, _prepared(matrix, self.score), self.score), 6) + 0.0
-        if self.apart:
-            got[self.ids[:, None] == ids[None, :]] = -np.inf
+    def keep(self, ids: np.ndarray, got: np.ndarray) -> None:
+        """More rows: got has a row of scores for each query, -inf where there is no hit."""
         if got.shape[1] > self.k:
             self.least = np.maximum(self.least, np.partition(got, -self.k, axis=1)[:, -self.k])
         row, col = np.nonzero((got >= self.least[:, None]) & (got > -np.inf))
         row, at, to = np.concatenate([self.row, row]), np.concatenate([self.at, got[row, col]]), np.concatenate([self.to, ids[col]])
         order = np.lexsort((-to, -at, row))
         row, at, to = row[order], at[order], to[order]
-        first = np.searchsorted(row, np.arange(len(self.ids)))
+        first = np.searchsorted(row, np.arange(self.n))
         keep = np.arange(len(row)) - first[row] < self.k
         self.row, self.at, self.to = row[keep], at[keep], to[keep]
 
 
+class _Best(Kept):
+    """The k best of a block's queries by their vectors."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, score: str, apart: bool):
+        super().__init__(len(ids), k)
+        self.ids, self.q, self.score, self.apart = ids, _prepared(matrix, score), score, apart
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        got = np.round(_scores(self.q, _prepared(matrix, self.score), self.score), 6) + 0.0
+        if self.apart:
+            got[self.ids[:, None] == ids[None, :]] = -np.inf
+        self.keep(ids, got)
+
+
 def _matrix(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(positions of vectors of one size, the matrix of them)."""
     offs, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)

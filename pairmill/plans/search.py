@@ -142,8 +142,7 @@ def loss(spark, sf):
 def bm25_all(spark, sf):
     docs = t(spark, sf, "documents").select(F.col("doc_id").alias("corpus_id"), "text")
     asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    s = retrieval.bm25(docs, asked).withColumn("score", F.round("score", 4))
-    return retrieval.top_k(s, 5).drop("rank")
+    return retrieval.bm25_top(docs, asked, 5).drop("rank")
 
 
 @query("v13_kmeans")
