@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmill.operators import blocks, retrieval
+from pairmill.operators.retrieval import grows
+from pairmill.plans.places import folder
 
 METRICS = ("accuracy", "precision", "recall", "mrr", "ndcg", "map")
 UNIT = ["dataset", "subset", "data_file"]
@@ -78,24 +80,32 @@ def pending(units_: DataFrame, done: DataFrame | None, scores: tuple[str, ...])
     return every if done is None else every.join(done.select(*UNIT, "score").distinct(), [*UNIT, "score"], "left_anti")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written and read: every task sends the counters of its plan's whole lineage to the driver, so the lineage is cut."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def evaluated(spark: SparkSession, registry: list[Benchmark], scores: tuple[str, ...] = ("cosine",), ks: list[int] = [1, 3, 5, 10], done: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """dataset, subset, data_file, score, k, the six metrics and n_queries of all that ``done`` (earlier results) lacks.
 
     A query without relevant rows isn't asked.
     """
-    todo = retrieval.sent(pending(units(spark, registry), done, scores))  # the registry's rows
+    todo = retrieval.sent(_kept(pending(units(spark, registry), done, scores), "evaluated-todo"))  # the registry's rows
     corpus, queries, judged = loaded(spark, registry)
-    judged = judged.where("score > 0").drop("score").distinct()
+    judged = _kept(judged.where("score > 0").drop("score").distinct(), "evaluated-judged")
     set_ = ["dataset", "subset"]
-    asked = judged.groupBy(*UNIT, "query_id").agg(F.count("*").alias("r"))
+    asked = _kept(judged.groupBy(*UNIT, "query_id").agg(F.count("*").alias("r")), "evaluated-asked")
     ranked: DataFrame | None = None
     for score in scores:
         own = todo.where(F.col("score") == score)
-        q = queries.join(asked.join(own, UNIT, "left_semi").select(*set_, "query_id").distinct(), [*set_, "query_id"], "left_semi")
+        q = _kept(queries.join(grows(asked.join(own, UNIT, "left_semi").select(*set_, "query_id").distinct()), [*set_, "query_id"], "left_semi"), "evaluated-queries")
         c = corpus.join(own.select(*set_).distinct(), set_, "left_semi")
         top = blocks.top_k(q, c, score, max(ks), by=set_, apart=apart).withColumn("score", F.lit(score)).select(*set_, "score", "query_id", "corpus_id", "rank")
+        top = _kept(top, "evaluated-ranked")
         ranked = top if ranked is None else ranked.unionByName(top)
-    hits = ranked.join(judged, [*set_, "query_id", "corpus_id"]).join(todo, [*UNIT, "score"], "left_semi")
+    hits = grows(ranked).join(grows(judged), [*set_, "query_id", "corpus_id"]).join(todo, [*UNIT, "score"], "left_semi")
     runs = asked.join(todo, UNIT)
     keys = [*UNIT, "score"]
     return retrieval.measured(hits.select(*keys, "query_id", "rank"), runs.select(*keys, "query_id", "r"), ks, keys)

@@ -16,6 +16,11 @@ def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """df marked to be joined by a shuffle: a side that grows with the input isn't gathered in the driver while it is still small."""
+    return df.hint("merge")
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query; ties to the larger id. The window's limit is pushed before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("corpus_id").desc())
@@ -41,7 +46,7 @@ def measured(hits: DataFrame, asked: DataFrame, ks: list[int], keys: list[str] =
     """keys and k with their metrics. hits: keys, query_id and rank of each relevant row found; asked: keys, query_id and r (how many are relevant) of every query."""
     run = Window.partitionBy(*keys, "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.select(*keys, "query_id", "rank", F.count("*").over(run).alias("h"))
-    each = asked.join(hits.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("hits")), [*keys, "query_id"], "left")
+    each = grows(asked).join(grows(hits.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("hits"))), [*keys, "query_id"], "left")
     each = each.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     got = F.filter(F.coalesce("hits", F.array().cast("array<struct<rank:int,h:bigint>>")), lambda x: x["rank"] <= F.col("k"))
     each = each.withColumn("got", got).withColumn("n", F.size("got"))

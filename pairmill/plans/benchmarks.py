@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairmill.operators import evaluation
 from pairmill.operators.evaluation import AGGREGATES, METRICS, Benchmark
+from pairmill.operators.retrieval import grows
 from pairmill.plans.curate import t
 from pairmill.plans.places import folder
 from pairmill.plans.registry import query
@@ -33,7 +34,7 @@ def benchmarks(spark, sf):
         left = q.select(F.col("id").alias("query_id"), "label", *by, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
         right = e.select(F.col("id").alias("corpus_id"), "label", *by, cell.alias("cell"))
         gap = F.abs(F.col("query_id") - F.col("corpus_id"))
-        pairs = left.join(right, ["cell", "label", *by]).where((gap > 0) & (gap <= FAR))
+        pairs = grows(left).join(grows(right), ["cell", "label", *by]).where((gap > 0) & (gap <= FAR))
         rels = pairs.select("query_id", "corpus_id", F.lit(1).alias("score"), *by, *([F.when(gap <= NEAR, "near").otherwise("far").alias("data_file")] if name == "lab" else []))
         writers.qrels(rels, f"{path}/{name}/qrels", by if name == "nano" else ["data_file"])
     return [Benchmark("nano", f"{path}/nano", tuple(f"s{k}" for k in range(SUBSETS))), Benchmark("lab", f"{path}/lab", data_files=("near", "far"))]
