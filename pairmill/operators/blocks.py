@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query block, of a corpus block, and corpus rows of one product.
-QUERY_ROWS, CORPUS_ROWS, STEP = 1_000, 50_000, 2_000
+#: Rows of a query block, of a corpus block, corpus rows of one product, and its scores: with their copies they are what a worker holds.
+QUERY_ROWS, CORPUS_ROWS, STEP, CELLS = 1_000, 50_000, 2_000, 250_000
 SCORES = ("cosine", "dot", "manhattan", "euclidean", "hamming")
 
 
@@ -39,7 +39,7 @@ def _scores(q: np.ndarray, c: np.ndarray, score: str) -> np.ndarray:
     out = np.zeros((len(q), len(c)))
     for x, y in zip(q.T, c.T):
         gap = x[:, None] - y[None, :]
-        out += np.abs(gap) if score == "manhattan" else gap * gap
+        out += np.abs(gap, out=gap) if score == "manhattan" else np.multiply(gap, gap, out=gap)
     return -(out if score == "manhattan" else np.sqrt(out))
 
 
@@ -78,6 +78,11 @@ class _Best(Kept):
         self.keep(ids, got)
 
 
+def product_rows(queries: int) -> int:
+    """Corpus rows that meet so many queries in one product."""
+    return max(1, min(STEP, CELLS // max(1, queries)))
+
+
 def _matrix(column: pa.Array, size: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(positions of vectors of one size, the matrix of them)."""
     offs, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
@@ -149,8 +154,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, score: str, k: int, by: list[st
                     best, waiting = opened(), []
                 if best is None:
                     continue
-                for b in range(0, part.num_rows, STEP):
-                    step = part.slice(b, STEP)
+                some = product_rows(len(best.ids))
+                for b in range(0, part.num_rows, some):
+                    step = part.slice(b, some)
                     rows, matrix = _matrix(step["v"], best.q.shape[1])
                     if len(rows):
                         best.add(step["id"].to_numpy()[rows], matrix)
