@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairmill.operators import batching, positions, sampling
+from pairmill.operators.retrieval import sent
 from pairmill.plans.curate import t
 from pairmill.plans.places import folder
 from pairmill.plans.registry import query
@@ -43,17 +44,72 @@ def samplers(spark, sf):
 def no_repeats(spark, sf, size: int = 32):
     """Batches of pairs in which no part and no order stands twice: what holds of them, by source."""
     rows = t(spark, sf, "lineitem").select("l_returnflag", F.monotonically_increasing_id().alias("id"), F.concat(F.lit("p"), "l_partkey").alias("anchor"), F.concat(F.lit("o"), "l_orderkey").alias("positive"))
-    got = folder(spark, "m10")
-    batching.no_repeats(rows, ["anchor", "positive"], size, "l_returnflag").write.parquet(got)
-    got = spark.read.parquet(got)
-    source = "l_returnflag"
-    texts = got.select(source, "batch", "id", F.explode(F.array("anchor", "positive")).alias("text")).groupBy(source, "batch", "text").agg(F.count("*").alias("n"))
-    repeats = texts.groupBy(source).agg(F.count_if(F.col("n") > 1).alias("repeats"))
-    by = got.groupBy(source, "batch").agg(F.count("*").alias("n")).groupBy(source).agg(F.count_if(F.col("n") > size).alias("over"), F.count("*").alias("batches"), F.sum("n").alias("rows"))
-    different = got.groupBy(source).agg(F.count_distinct("id").alias("different"))
-    most = got.select(source, F.explode(F.array("anchor", "positive")).alias("text")).groupBy(source, "text").count().groupBy(source).agg(F.max("count").alias("most"))
-    few = F.col("batches") <= 1.5 * F.greatest(F.col("most"), F.ceil(F.col("rows") / size)) + 8
-    return by.join(repeats, source).join(different, source).join(most, source).select(source, "rows", "different", "repeats", "over", few.alias("few"))
+    return batches_checked(batching.no_repeats(rows, ["anchor", "positive"], size, "l_returnflag"), "l_returnflag", "id", ["anchor", "positive"], size)
+
+
+def batches_checked(got, source: str, key: str, texts: list[str], size: int):
+    """A row a source: rows, different keys (whole numbers from 0), texts that stand in several rows of a batch, batches of more than size rows, and whether the batches are few.
+
+    A batch's rows mostly stand together, so it is looked at where it is read.
+    What stands in several places, or has a hash twice, is counted by its texts.
+    """
+    path = folder(got.sparkSession, "m10")
+    runs = _runs(got.select(source, "batch", *[F.xxhash64(c).alias(c) for c in texts]), source, texts)
+    runs.groupBy(source, "batch").agg(F.count("*").alias("runs"), F.sum("n").alias("n"), F.max("twice").alias("twice")).write.parquet(path)
+    batches = got.sparkSession.read.parquet(path)
+    by = batches.groupBy(source).agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > size).alias("over"), F.count("*").alias("batches"))
+    each = lambda df, *keys: df.select(*keys, F.explode(F.array(*texts)).alias("text")).where("text IS NOT NULL").groupBy(*keys, "text").agg(F.count("*").alias("c"))
+    asked = positions.same(got, sent(batches.where("runs > 1 OR twice").select(source, "batch")), [source, "batch"])
+    repeats = each(asked, source, "batch").where("c > 1").groupBy(source).agg(F.count("*").alias("repeats"))
+    words = got.groupBy(source, F.expr(f"`{key}` DIV 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(`{key}` % 64 AS INT)))").alias("bits"))
+    different = words.groupBy(source).agg(F.sum(F.bit_count("bits")).alias("different"))
+    few = lambda least: F.col("batches") <= 1.5 * least + 8
+    least = F.ceil(F.col("rows") / size)
+    # a text's copies are counted only where the rows alone don't ask for as many
+    many = positions.same(got, sent(by.where(~few(least)).select(source)), [source])
+    most = each(many, source).groupBy(source).agg(F.max("c").alias("most"))
+    for other in (repeats, different, most):
+        by = positions.same(by, other, [source], "left")
+    return by.select(source, "rows", "different", F.coalesce("repeats", F.lit(0).cast("long")).alias("repeats"), "over", few(F.greatest(least, "most")).alias("few"))
+
+
+def _runs(rows, source: str, hashes: list[str], most: int = 100_000):
+    """source, batch, n and twice (whether a hash stands there twice) of each stretch of rows of one batch, as they are read; stretches of over ``most`` rows are cut."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def summed(table: pa.Table, first: np.ndarray):
+        n = np.diff(np.append(first, table.num_rows))
+        run = np.tile(np.repeat(np.arange(len(first)), n), len(hashes))
+        h = np.concatenate([table[c].to_numpy() for c in hashes])
+        order = np.lexsort((h, run))
+        h, run = h[order], run[order]
+        twice = np.zeros(len(first), bool)
+        twice[run[1:][(h[1:] == h[:-1]) & (run[1:] == run[:-1])]] = True
+        keys = table.select([source, "batch"]).take(pa.array(first))
+        return keys.append_column("n", pa.array(n, pa.int64())).append_column("twice", pa.array(twice)).combine_chunks().to_batches()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            code = pc.fill_null(rows[source].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+            at = rows["batch"].to_numpy()
+            first = np.append(0, np.flatnonzero((np.diff(code) != 0) | (np.diff(at) != 0)) + 1)
+            last = first[-1] if rows.num_rows - first[-1] <= most else rows.num_rows
+            if last:
+                yield from summed(rows.slice(0, last), first[first < last])
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from summed(held, np.zeros(1, np.int64))
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, f"`{source}` {fields[source]}, batch long, n long, twice boolean")
 
 
 #: A row leaves the buffer when the next row comes that draws its slot; the rest leave at the end by their hashes.
